@@ -64,7 +64,7 @@ class Rolling:
 
 
 def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(key, context, first, last) per anchor of a sequence; windows first..last chose it.
+    """(key, context, first, last, at) per anchor of a sequence; windows first..last chose the gram at `at`.
 
     key is the hash of the anchor's gram; context is the hash of all symbols that
     those windows cover. Sequences shorter than `length` have no window.
@@ -72,7 +72,7 @@ def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     n = len(symbols)
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     rolling = Rolling(symbols)
     hashes = rolling.grams(gram)
     width, m = length - gram + 1, len(hashes)
@@ -89,4 +89,4 @@ def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     last = np.append(first[1:], windows) - 1
     place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     context = rolling.spans(first, last + length)
-    return hashes[place].view(np.int64), context.view(np.int64), first, last
+    return hashes[place].view(np.int64), context.view(np.int64), first, last, place

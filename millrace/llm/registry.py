@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import merkle, mixing
+from . import merkle, mixing, suffix_array, suffix_automata
 from .common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
         "op6_merkle_fingerprints": merkle.op6_merkle_fingerprints,
         "op7_mixing": mixing.op7_mixing,
+        "op10_suffix_automata_dedup": suffix_automata.op10_suffix_automata_dedup,
     }
 
 
