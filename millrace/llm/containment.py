@@ -18,9 +18,12 @@ and one pass over the documents answers it, with no shuffle of texts.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +109,15 @@ class Items:
         return found
 
 
+def _blocks(spark: SparkSession, items: DataFrame, block: int) -> Iterator[Broadcast]:
+    """Broadcasts of [(item_id, text)], about `block` items each; one at least."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = max(1, -(-rows.count() // block))
+    for b in range(blocks):
+        held = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in held])
+
+
 def contained(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, containment) of every item contained in a document to at least `least`.
 
@@ -115,13 +127,8 @@ def contained(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shing
     Repeated documents and null ids: see `common`. Either table may be empty.
     """
     docs = documents(df).select("doc_id", "text")
-    spark = docs.sparkSession
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-rows.count() // block))
-    out = None
-    for b in range(blocks):
-        held = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast(held)
+    parts = []
+    for shared in _blocks(docs.sparkSession, items, block):
 
         def search(batches, shared=shared):
             index = Items(shared.value, shingle)
@@ -129,9 +136,22 @@ def contained(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shing
                 hits = [(d, i, c) for d, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True) for i, c in index.search(word_hashes(text), least).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
 
-        some = docs.mapInArrow(search, "doc_id long, item_id long, containment double")
-        out = some if out is None else out.union(some)
-    return out.withColumn("doc_id", outer_id())
+        parts.append(docs.mapInArrow(search, "doc_id long, item_id long, containment double"))
+    return reduce(DataFrame.union, parts).withColumn("doc_id", outer_id())
+
+
+def without_contaminated(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of df, with all their columns, that contain no item; judged row by row, without a shuffle."""
+    at = df.columns.index("text")
+    for shared in _blocks(df.sparkSession, items, block):
+
+        def keep(batches, shared=shared):
+            index = Items(shared.value, shingle)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.search(word_hashes(t), least) for t in texts_of(batch.column(at))], pa.bool_()))
+
+        df = df.mapInArrow(keep, df.schema)
+    return df
 
 
 def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import containment, dartminhash, merkle, mixing, suffix_array, suffix_automata, tokens
+from . import containment, dartminhash, merkle, mixing, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
 from .common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_secrets": secrets.op2_secrets,
         "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
         "op4_dartminhash": dartminhash.op4_dartminhash,
         "op5_containment": containment.op5_containment,
         "op6_merkle_fingerprints": merkle.op6_merkle_fingerprints,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": tokens.op8_token_counts,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_suffix_automata_dedup": suffix_automata.op10_suffix_automata_dedup,
     }
 
