@@ -34,9 +34,11 @@ SLOTS = 1 << 20
 HEADS = (4, 5, 6, 7, 8, 9)
 #: Documents of each class that training reads at most.
 PER_CLASS = 2000
-#: Features kept, by how well they tell the classes apart.
-KEPT = 1024
+#: Features kept, by how well they tell the classes apart, and the least they must: a difference in standard errors.
+KEPT, LEAST = 1024, 2.5
 FOLDS = 5
+#: How far the biases return from equal classes to the labels' shares, in log odds.
+PRIOR = 0.5
 THRESHOLD = 0.5
 
 
@@ -93,7 +95,9 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 300) ->
     return w[:-1], float(w[-1])
 
 
-def train(rows: list[tuple[int, str, int]], kept: int = KEPT, folds: int = FOLDS) -> Chain:
+def train(rows: list[tuple[int, str, int]], counts: dict[int, int], kept: int = KEPT, folds: int = FOLDS) -> Chain:
+    """Fit the chain on a sample of both classes; counts are those of all labels, whose shares the biases return to."""
+    prior = np.log(max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5))
     y = np.array([label for _, _, label in rows], dtype=np.float64)
     sets = [features(utf8(text)) for _, text, _ in rows]
     with_, without = np.zeros(SLOTS), np.zeros(SLOTS)
@@ -104,7 +108,7 @@ def train(rows: list[tuple[int, str, int]], kept: int = KEPT, folds: int = FOLDS
     score = (p - q) / np.sqrt((p + q) * (1 - (p + q) / 2) / min(n1, n0) + 1e-9)
     score[(with_ < 3)] = 0  # terms that speak for toxicity
     best = np.argsort(-score, kind="stable")[:kept]
-    best = best[score[best] > 3.0]
+    best = best[score[best] > LEAST]
     column = np.full(SLOTS, -1, dtype=np.int32)
     column[best] = np.arange(len(best))
     x = np.zeros((len(rows), len(best)), dtype=np.float32)
@@ -127,7 +131,7 @@ def train(rows: list[tuple[int, str, int]], kept: int = KEPT, folds: int = FOLDS
                     w, b = fit(whole[rest], targets[c][rest])
                     seen[~rest, c] = 1 / (1 + np.exp(-np.clip(whole[~rest] @ w + b, -30, 30)))
         w, b = fit(whole, targets[c]) if len(rows) else (np.zeros(whole.shape[1]), -20.0)
-        weights[c], earlier[c, :c], bias[c] = w[: len(best)], w[len(best) :], b
+        weights[c], earlier[c, :c], bias[c] = w[: len(best)], w[len(best) :], b + PRIOR * prior
     return Chain(column, weights, earlier, bias)
 
 
@@ -153,15 +157,15 @@ def toxicity(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thres
     Empty table: no rows.
     """
     docs = documents(df)
-    rows, _ = sample(docs, labels, "toxic", per_class, F.lit(True))
-    scored = score_texts(docs, train(rows))
+    rows, counts = sample(docs, labels, "toxic", per_class, F.lit(True))
+    scored = score_texts(docs, train(rows, counts))
     return scored.withColumn("doc_id", outer_id()).withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df, with all their columns, whose text is not toxic; judged row by row, without a shuffle."""
-    rows, _ = sample(documents(df), labels, "toxic", per_class, F.lit(True))
-    shared = df.sparkSession.sparkContext.broadcast(train(rows))
+    rows, counts = sample(documents(df), labels, "toxic", per_class, F.lit(True))
+    shared = df.sparkSession.sparkContext.broadcast(train(rows, counts))
     at = df.columns.index("text")
 
     def keep(batches):
