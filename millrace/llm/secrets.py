@@ -115,13 +115,13 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
+def find_secrets(docs: DataFrame, ratios: list[float] | None = None, size: int = SAMPLE) -> DataFrame:
     """docs with `base` and `spans`: spans of the fixed patterns, and those with what the models add.
 
-    docs has doc_id and text without nulls, as `common.documents` returns.
+    The models are trained on docs themselves unless ratios of `train` are given. docs has doc_id and text without nulls, as `common.documents` returns.
     Runs that overlap a base span are not added again. Places are code points.
     """
-    ratios = train(docs, size)
+    ratios = train(docs, size) if ratios is None else ratios
     rows = docs.withColumn("base", base_spans(F.col("text")))
     more = markov_spans(F.col("text"), ratios)
     fresh = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
