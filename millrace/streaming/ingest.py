@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,25 +27,26 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> dict[str, str]:
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        """(number of the last write, path of each table)."""
         path = f"{self.root}/current"
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath):
-            return {}
-        newest = self.spark.read.schema("version long, tables string").json(path).orderBy(F.col("version").desc()).limit(1).collect()
-        return json.loads(newest[0]["tables"]) if newest else {}
+            return 0, {}
+        newest = self.spark.read.schema("number long, tables string").json(path).orderBy(F.col("number").desc()).limit(1).collect()
+        return (newest[0]["number"], json.loads(newest[0]["tables"])) if newest else (0, {})
 
     def read(self, name: str, schema: str) -> DataFrame:
-        path = self._pointer().get(name)
+        path = self._pointer()[1].get(name)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
     def write(self, version: int, **tables: DataFrame) -> None:
-        """All tables of one version become visible at once. Writing a version again changes nothing."""
-        paths = {n: str(PurePosixPath(n) / f"v{version}") for n in tables}
+        """All given tables become visible at once. Folders are never reused, so readers of the last write go on."""
+        number, paths = self._pointer()
+        fresh = {n: f"{self.root}/{n}/v{version}-{number + 1}" for n in tables}
         for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{self.root}/{paths[name]}")
-        merged = self._pointer() | {n: f"{self.root}/{p}" for n, p in paths.items()}
-        row = self.spark.createDataFrame([(version, json.dumps(merged))], "version long, tables string")
+            table.write.mode("overwrite").parquet(fresh[name])
+        row = self.spark.createDataFrame([(number + 1, json.dumps(paths | fresh))], "number long, tables string")
         row.coalesce(1).write.mode("append").json(f"{self.root}/current")
 
 

@@ -153,3 +153,22 @@ def test_projects(spark):
     rows = spark.createDataFrame([("1", ["agent:x", "app"], t, t), ("2", ["app"], t, t), ("3", ["core"], t, t), ("4", ["solo"], t, t)], "id string, tags array<string>, created timestamp, updated timestamp")
     out = hygiene.project_candidates(rows).collect()
     assert [(r["tag"], r["sessions"], r["ids"]) for r in out] == [("app", 2, ["1", "2"])]
+
+
+def test_engine_round_trip(spark, tmp_path):
+    from millrace.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / "engine"))
+    rows = [(i, f"r{i}", "memory", f"note number{i} about topic{i % 3} and things") for i in range(9)] + [(9, "dup", "memory", "note number0 about topic0 and  things")]
+    engine.ingest(spark.createDataFrame(_batch(rows), streaming.BATCH), 1, now())
+    assert engine.verify().first()["records"] == 9 and engine.health().first().asDict() == {"embedded": 9, "pending": 0}
+    asked = spark.createDataFrame([(1, "number4 topic1"), (2, "nothing here")], "query_id long, query string")
+    hits = engine.search(asked, now()).orderBy("query_id", "final_rank").collect()
+    assert hits[0]["query_id"] == 1 and "number4" in hits[0]["snippet"] and hits[0]["bm25_rank"] == 1
+    log = engine.exposures(engine.search(asked, now()), asked, "test", now(), 100)
+    assert log.agg(F.min("id")).first()[0] == 100 and log.count() == len(hits)
+    path = hits[0]["path"]
+    found = engine.get(spark.createDataFrame([(path,), (hits[0]["id"],), ("none",)], "key string")).collect()
+    assert [r["id"] for r in found] == [hits[0]["id"]] * 2
+    engine.ingest(spark.createDataFrame(_batch([(20, "r4", "memory", "now it is otherwise")]), streaming.BATCH), 2, now())
+    assert engine.chunks().where("text like '%number4%'").count() == 0 and engine.health().first()["pending"] == 0
