@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ingest, state
+from ..operators import ingest, relocate, state
 from . import bindings as b
 
 
@@ -115,7 +115,23 @@ def ingest_batch(spark: SparkSession, d: str) -> DataFrame:
     return out["records"].select("type", F.md5("body").alias("digest"), "title", F.round("importance", 8).alias("importance"), "valid_to", "source")
 
 
-QUERIES = {f.__name__: f for f in (needs_reembed, missing_state, queue_stats, queue_claim, queue_errors, queue_requeue, prune_missing, owning_root, source_sweep, skip_unchanged, merge_upsert, cache_lookup, stages_due, ingest_batch)}
+def daily_relocation(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of moves: some wait for the next to leave, some for a record that stays, some evict a stale copy."""
+    i = F.col("id")
+    rows = b.records(spark, d).select("id", "path", F.when(i % 6 == 5, F.concat(F.lit("r"), (i - 1).cast("string"))).otherwise(F.concat(F.lit("r"), i.cast("string"))).alias("ref"), (i % 6 != 5).alias("owns"))
+    after = F.concat(F.lit("memories/"), (i + 1).cast("string"), F.lit(".md"))
+    target = F.when(i % 6 == 0, after).when(i % 6 == 1, F.concat(F.lit("daily/"), i.cast("string"), F.lit(".md"))).when((i % 6 == 2) | (i % 6 == 4), after)
+    return relocate.relocated(rows, rows.select("id", target.alias("target")).where("target is not null"))
+
+
+def daily_targets(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    day = F.date_format("created", "yyyy-MM-dd")
+    ref = F.when(i % 4 == 0, F.concat(F.lit("/w/memory/"), day, F.lit(".md"))).when(i % 4 == 1, F.concat(F.lit("/w/memory/rem/x/"), day, F.lit(".md"))).when(i % 4 == 2, F.concat(F.lit("/w/other/"), day, F.lit(".md"))).otherwise(F.col("ref"))
+    return b.records(spark, d).select("id", relocate.daily_target(ref, F.when(i % 3 == 0, F.lit("ari"))).alias("target"))
+
+
+QUERIES = {f.__name__: f for f in (daily_relocation, daily_targets, needs_reembed, missing_state, queue_stats, queue_claim, queue_errors, queue_requeue, prune_missing, owning_root, source_sweep, skip_unchanged, merge_upsert, cache_lookup, stages_due, ingest_batch)}
 
 _R = f"WITH {b.RECORDS_SQL}"
 _NOW = f"TIMESTAMP '{b.NOW_TEXT}'"
@@ -125,6 +141,11 @@ _QUEUE = f"""WITH queue AS (SELECT event_id AS id, ts AS enqueued_at, (user_id %
 _SEED = "least(1.0::DOUBLE, greatest(0.1::DOUBLE, CASE type WHEN 'skill' THEN 0.7::DOUBLE WHEN 'decision' THEN 0.6::DOUBLE WHEN 'distillation' THEN 0.7::DOUBLE WHEN 'daily' THEN 0.4::DOUBLE WHEN 'session' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
 
 ORACLE = {
+    "daily_relocation": f"""{_R}, last AS (SELECT max(id) AS m FROM records)
+SELECT id, CASE id % 6 WHEN 0 THEN 'memories/' || (id + 1)::VARCHAR || '.md' WHEN 1 THEN 'daily/' || id::VARCHAR || '.md' WHEN 2 THEN CASE WHEN id = m THEN 'memories/' || (id + 1)::VARCHAR || '.md' ELSE path END
+  WHEN 4 THEN 'memories/' || (id + 1)::VARCHAR || '.md' WHEN 5 THEN '_meta/superseded-daily/' || path ELSE path END AS path,
+  CASE id % 6 WHEN 3 THEN 'unchanged' WHEN 5 THEN 'parked' WHEN 2 THEN CASE WHEN id = m THEN 'moved' ELSE 'blocked' END ELSE 'moved' END AS status FROM records, last""",
+    "daily_targets": f"""{_R} SELECT id, CASE WHEN id % 4 <> 3 THEN 'daily' || CASE WHEN id % 3 = 0 THEN '/ari' ELSE '' END || CASE WHEN id % 4 = 1 THEN '/rem/x' ELSE '' END || '/' || strftime(created, '%Y-%m-%d') || '.md' END AS target FROM records""",
     "needs_reembed": f"""{_R}, r AS (SELECT id, sha256(body) AS h FROM records), s AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'old' WHEN id % 11 = 0 THEN NULL ELSE h END AS sh, CASE WHEN id % 13 = 0 THEN 'v1' WHEN id % 3 = 0 THEN NULL ELSE 'v2' END AS sg FROM r WHERE id % 5 <> 0)
 SELECT r.id, sh IS NULL OR sh <> h OR coalesce(sg <> 'v2', false) AS needed FROM r LEFT JOIN s USING (id)""",
     "missing_state": f"{_R} SELECT DISTINCT vec_id % 250 AS id FROM embeddings WHERE vec_id % 250 NOT IN (SELECT id FROM records WHERE id % 5 <> 0)",
