@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hygiene, ingest
+from ..operators import hygiene, ingest, state
 from . import bindings as b
 
 
@@ -215,6 +215,30 @@ def invalid_records(spark: SparkSession, d: str) -> DataFrame:
     return ingest.problems(rows).where("size(problems) > 0").select("id", F.array_join("problems", ",").alias("problems"))
 
 
+def drift_check(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest made of the records, some of it out of date."""
+    rows = hygiene.hashed(b.records(spark, d))
+    i = F.col("id")
+    manifest = rows.select(F.when(i % 50 == 0, -i - 1).otherwise(i).alias("id"), F.when(i % 7 == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.when(i % 11 == 0, F.lit("odd")).otherwise(F.col("type")).alias("type"))
+    out = hygiene.drifted(manifest, b.records(spark, d))
+    return out.select("id", F.array_join("mismatches", ",").alias("mismatches"))
+
+
+def distill_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Users' error events as failures of their sessions: which wait for the next attempt."""
+    errors = b.table(spark, d, "events").where("event_type = 'error'")
+    failures = errors.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("failures"), F.max("ts").cast("timestamp").alias("last_failed"))
+    return state.excluded_sessions(failures, F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+def latest_distillations(spark: SparkSession, d: str) -> DataFrame:
+    """The distillation of each session that several link to."""
+    i = F.col("id")
+    links = F.array(F.concat(F.lit("memory://sessions/s"), (i % 20).cast("string"), F.lit(".md")), F.concat(F.lit("sessions/t"), (i % 7).cast("string")), F.lit("memory://memories/x.md"))
+    rows = b.records(spark, d).withColumn("links", F.when(F.col("type") == "distillation", links).otherwise(F.array().cast("array<string>")))
+    return hygiene.latest_distillations(rows)
+
+
 def skills_list(spark: SparkSession, d: str) -> DataFrame:
     scope = F.when(F.col("id") % 2 == 0, "agent0").otherwise("universal")
     return b.records(spark, d).withColumn("scope", scope).where("type = 'skill' and deleted_at is null and scope = 'universal'").select("id", "title", "path")
@@ -235,7 +259,7 @@ QUERIES = {
         body_hash, dedup_groups, dedup_winners, dedup_ingest_first, dedup_apply, audit_classes, audit_summary, phase1_select, noise_decisions, noise_summary, noise_expiry,
         importance_seed, importance_bumps, query_log_prune, retrieval_counts, type_counts, verify_report, topic_clusters, daily_week_clusters, undistilled_clusters,
         session_transcripts, session_candidates, session_scan_stats, session_distillations, project_candidates, wikilinks, image_refs, chunks, snippets, prefix_truncate,
-        titles, parse_scores, vault_paths, coerce_records, invalid_records, skills_list, get_record,
+        titles, parse_scores, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
     )
 }
 
@@ -321,6 +345,11 @@ SELECT id AS key, CASE WHEN id % 4 = 0 THEN '00000000-0000-4000-8000-00000000000
     "invalid_records": f"""{_R}, x AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'odd' ELSE type END AS type, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE ELSE importance END AS importance, title FROM records),
 p AS (SELECT id, array_to_string(list_filter([CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN importance > 1 THEN 'importance' END, CASE WHEN type = 'skill' AND coalesce(title, '') = '' THEN 'title' END, CASE WHEN type = 'skill' AND id % 3 <> 0 THEN 'scope' END, CASE WHEN type = 'skill' AND id % 2 <> 0 THEN 'verification' END], lambda v: v IS NOT NULL), ',') AS problems FROM x)
 SELECT * FROM p WHERE problems <> ''""",
+    "drift_check": f"""{_R} SELECT CASE WHEN id % 50 = 0 THEN -id - 1 ELSE id END AS id, CASE WHEN id % 50 = 0 THEN 'missing' ELSE
+  array_to_string(list_filter([CASE WHEN id % 7 = 0 THEN 'body changed' END, CASE WHEN id % 11 = 0 THEN 'type changed' END, CASE WHEN deprecated_by IS NOT NULL THEN 'deprecated' END], lambda x: x IS NOT NULL), ',') END AS mismatches FROM records""",
+    "distill_retries": "SELECT user_id AS id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3 AND max(ts) > TIMESTAMP '2024-01-29 12:00:00'",
+    "latest_distillations": f"""{_R}, l AS (SELECT id, path, 's' || (id % 20)::VARCHAR AS session_id FROM records WHERE type = 'distillation' UNION ALL SELECT id, path, 't' || (id % 7)::VARCHAR FROM records WHERE type = 'distillation')
+SELECT session_id, arg_max(id, path) AS id FROM l GROUP BY session_id""",
     "skills_list": f"{_R} SELECT id, title, path FROM records WHERE type = 'skill' AND deleted_at IS NULL AND id % 2 <> 0",
     "get_record": f"{_R} SELECT CASE WHEN id % 2 = 0 THEN path ELSE id::VARCHAR END AS key, id FROM records",
 }
