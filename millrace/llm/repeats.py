@@ -21,6 +21,7 @@ smaller id, or in the same document before. The work goes in three steps.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import idset
 from .anchors import Rolling, anchors
 from .common import written
 
@@ -138,15 +140,17 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_settle, SETTLED)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed, for a shuffle of whole texts."""
+def packed(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, packed): texts compressed, for a shuffle of whole texts; of the documents that a bitmap perhaps holds."""
 
     def rows(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(idset.perhaps(bits, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t) for t in texts_of(batch.column(1))], pa.binary())], ["doc_id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, packed binary")
+    return docs.select("doc_id", "text", idset.slot().alias("slot")).mapInArrow(rows, "doc_id long, packed binary")
 
 
 def unpacked(column: pa.Array) -> Iterator[np.ndarray]:
@@ -155,6 +159,12 @@ def unpacked(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(unpack.decompress(blob.as_py()), dtype=np.uint8)
 
 
+def _held(candidates: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(doc_id, packed, key, place): each text with its own candidates."""
+    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("at"))
+    return blobs.join(by_doc, "doc_id").select("doc_id", "packed", F.col("at.key").alias("key"), F.col("at.place").alias("place"))
+
+
 def contexts(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length: int) -> DataFrame:
     """(key, doc_id, place, symbols): the symbols that a candidate's windows cover."""
 
@@ -169,28 +179,24 @@ def contexts(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length:
                     ["key", "doc_id", "place", "symbols"],
                 )
 
-    by_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("at"))
-    held = blobs.join(by_doc, "doc_id").select("doc_id", "packed", F.col("at.key").alias("key"), F.col("at.place").alias("place"))
-    return held.mapInArrow(rows, "key long, doc_id long, place long, symbols binary")
+    return _held(candidates, blobs).mapInArrow(rows, "key long, doc_id long, place long, symbols binary")
 
 
-def sorted_out(rows: DataFrame, length: int, width: int) -> DataFrame:
-    """FOUND rows for contexts whose key is hot: windows sorted by range, compared with the one before.
+def sorted_out(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length: int) -> DataFrame:
+    """FOUND rows for candidates whose key is hot: windows sorted by range, compared with the one before.
 
-    A window and its place are the sort key, so windows that thousands of
-    documents share are split between tasks too; the first of a partition is
-    compared with the last of the partition before.
+    A window (its 128-bit digest) and its place are the sort key, so windows that
+    thousands of documents share are split between tasks too; the first of a
+    partition is compared with the last of the partition before.
     """
 
     def windows(batches):
         for batch in batches:
-            for doc_id, place, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n = int(count_of(place))
-                starts = np.arange(n) + first_of(place)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([held[i * width : (i + length) * width] for i in range(n)], pa.binary()), pa.array(np.full(n, doc_id)), pa.array(starts)],
-                    ["window", "doc_id", "start"],
-                )
+            for doc_id, text, places in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(3), strict=True):
+                place, whole = places.values.to_numpy(), symbols(text)
+                starts = np.concatenate([np.arange(a, a + n) for a, n in zip(first_of(place), count_of(place), strict=True)])
+                digests = [blake2b(whole[i : i + length].tobytes(), digest_size=16).digest() for i in starts.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(starts), doc_id)), pa.array(starts)], ["window", "doc_id", "start"])
 
     def compare(batches):
         from pyspark import TaskContext
@@ -211,7 +217,7 @@ def sorted_out(rows: DataFrame, length: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([False]), pa.array([before], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["part", "same", "window", "doc_id", "start"])
 
     order = ["window", "doc_id", "start"]
-    each = rows.mapInArrow(windows, "window binary, doc_id long, start long")
+    each = _held(candidates, blobs).mapInArrow(windows, "window binary, doc_id long, start long")
     marked = written(each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "part int, same boolean, window binary, doc_id long, start long"), "hot-windows")
     from pyspark.sql import Window
 
@@ -221,11 +227,11 @@ def sorted_out(rows: DataFrame, length: int, width: int) -> DataFrame:
     return marked.where("same").select("doc_id", "start").union(across.select("doc_id", "start")).select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def found(docs: DataFrame, symbols: Symbols, width: int, length: int, gram: int, hot: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def found(docs: DataFrame, symbols: Symbols, length: int, gram: int, hot: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc_id, first, last): runs of windows that start earlier elsewhere.
 
     `compare` gets the contexts of keys with up to `hot` candidates each and
-    returns FOUND rows; `width` is the bytes of a symbol.
+    returns FOUND rows.
     """
     rows = written(settled(anchored(docs, symbols, length, gram)), "settled")
     place = F.col("place")
@@ -233,30 +239,44 @@ def found(docs: DataFrame, symbols: Symbols, width: int, length: int, gram: int,
     whole = rows.where("repeat").select("doc_id", first.alias("first"), (first + F.shiftright(place, 8).bitwiseAND(F.lit(0xFF))).alias("last"))
     candidates = rows.where("not repeat").select("key", "doc_id", "place")
     crowded = candidates.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
-    blobs = packed(docs)
-    if not crowded.limit(1).count():
-        return whole.union(compare(contexts(candidates, blobs, symbols, length)))
-    held = contexts(candidates, blobs, symbols, length)
-    hot_rows = sorted_out(held.join(crowded, "key", "left_semi"), length, width)
-    return whole.union(compare(held.join(crowded, "key", "left_anti"))).union(hot_rows)
+    apart = written(candidates.join(crowded, "key", "left"), "candidates")
+    few, many = (apart.where(c).select("key", "doc_id", "place") for c in ("hot is null", "hot"))
+    near = compare(contexts(few, packed(docs, idset.bitmap(few)), symbols, length))
+    return whole.union(near).union(sorted_out(many, packed(docs, idset.bitmap(many)), symbols, length))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
-    """Give each document's text and runs to judge(text, first, last); one row (doc_id, *result) per document."""
+    """Give each document's text and runs to judge(text, first, last); one row (doc_id, *result) per document.
 
-    def rows(batches):
+    Only texts of documents with runs are shuffled; the others are judged where they are read.
+    """
+
+    names = [c.split()[0] for c in f"doc_id long, {schema}".split(", ")]
+    none = np.zeros(0, np.int64)
+    runs = written(runs, "runs")
+    bits = idset.bitmap(runs)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names})
+
+    def joined(batches):
         for batch in batches:
             out = []
             for doc_id, text, first, last in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2), batch.column(3), strict=True):
-                none = np.zeros(0, np.int64)
                 a, b = (x.values.to_numpy() if x.is_valid else none for x in (first, last))
                 out.append((doc_id, *judge(text, a, b)))
-            names = [c.split()[0] for c in f"doc_id long, {schema}".split(", ")]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names})
+            yield batch_of(out)
+
+    def untouched(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~idset.perhaps(bits, batch.column(2).to_numpy())))
+            yield batch_of([(doc_id, *judge(text, none, none)) for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)])
 
     by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    held = packed(docs).join(by_doc, "doc_id", "left").select("doc_id", "packed", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
-    return held.mapInArrow(rows, f"doc_id long, {schema}")
+    some = packed(docs, bits).join(by_doc, "doc_id", "left").select("doc_id", "packed", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
+    rest = docs.select("doc_id", "text", idset.slot().alias("slot"))
+    whole = f"doc_id long, {schema}"
+    return some.mapInArrow(joined, whole).union(rest.mapInArrow(untouched, whole))
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:

@@ -117,7 +117,7 @@ def sort_buckets(length: int, bucket: int = BUCKET):
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, first, last): runs of byte windows of `docs` that start earlier elsewhere."""
-    return found(docs, as_bytes, 1, length, gram, hot, sort_buckets(length))
+    return found(docs, as_bytes, length, gram, hot, sort_buckets(length))
 
 
 def dedup_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -24,7 +24,7 @@ from .repeats import FOUND, covered, first_of, found, texts_of, with_runs, word_
 LENGTH = 20
 GRAM = 6
 #: Passages that one automaton may hold; grams with more go by single windows.
-HOT = 10_000
+HOT = 2_000
 
 
 class Automaton:
@@ -114,7 +114,7 @@ def automaton_shards(length: int):
 
 def repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, first, last): runs of word windows of `docs` that start earlier elsewhere."""
-    return found(docs, word_hashes, 8, length, gram, hot, automaton_shards(length))
+    return found(docs, word_hashes, length, gram, hot, automaton_shards(length))
 
 
 def dedup_words(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
