@@ -14,11 +14,16 @@ Coordinates are joined in bands. Documents of one band value are candidates;
 each is compared only with leaders of its bucket (the least id and the one that
 shares most buckets), not with all. Links are verified by the exact similarity.
 Buckets whose documents are not yet in one class are gone over again: all pairs
-across classes in buckets of at most SMALL, other leaders in larger ones.
+across classes in buckets of at most SMALL, other leaders in larger ones. What
+the leaders leave open is settled pair by pair: members of a mixed bucket meet
+in blocks, and pairs across classes are verified unless their sizes rule the
+similarity out or their signatures agree so little that a linked pair would do
+so once in 10^9 times.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +41,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Buckets up to this size are compared in full where classes meet.
 SMALL = 8
-#: Most times that larger buckets are gone over with other leaders.
+#: Most times that larger buckets are gone over with other leaders, before their pairs are gone through.
 ROUNDS = 3
+#: Members of a larger bucket that meet as many others at once.
+BLOCK = 512
+#: Chance that the signatures of a linked pair agree less than is asked of a pair of a block.
+MISS = 1e-9
+#: More open pairs than MANY are verified in parts (one of 64, one of 8, all), without those that a part before has linked.
+MANY, PARTS = 200_000, (64, 8, 1)
 
 #: Cumulative probabilities of a Poisson(1) number.
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 16)))))
@@ -99,11 +110,11 @@ def signature(element: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, low, high, bands): digest of the weighted set and the band values; documents without words have none."""
+    """(doc_id, low, high, bands, weight, marks): digest of the weighted set, the band values, the set's size and a byte of each coordinate; documents without words have none."""
 
     def sketch(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, low, high, values = [], [], [], []
+            ids, low, high, values, weights, marks = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 element, weight = shingles(text)
                 if not len(element):
@@ -117,12 +128,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 for r in range(rows):
                     value = mix(value * _U(0x9E3779B97F4A7C15) + coordinate[:, r])
                 values.append(value.view(np.int64))
+                weights.append(int(weight.sum()))
+                marks.append(coordinate.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(low, dtype=_U).view(np.int64)), pa.array(np.array(high, dtype=_U).view(np.int64)), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "low", "high", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(np.array(low, dtype=_U).view(np.int64)), pa.array(np.array(high, dtype=_U).view(np.int64)), pa.array(values, pa.list_(pa.int64())), pa.array(weights, pa.int64()), pa.array(marks, pa.binary())],
+                ["doc_id", "low", "high", "bands", "weight", "marks"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, low long, high long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, low long, high long, bands array<long>, weight long, marks binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -154,6 +167,65 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long, similarity double")
 
 
+def agreeing(k: int, least: float, miss: float = MISS) -> int:
+    """Coordinates of k that a pair of that similarity agrees on at least, but for a chance of `miss`."""
+    below, t = 0.0, 0
+    while t < k and (below := below + math.comb(k, t) * least**t * (1 - least) ** (k - t)) < miss:
+        t += 1
+    return t
+
+
+def met(members: DataFrame, least: float, agree: int, block: int | None = None) -> DataFrame:
+    """(a, b): distinct pairs of different labels in one bucket that may be `least` similar; members: (bucket, rep, label, n, weight, marks).
+
+    A bucket is cut into blocks, and every two of them (and each with itself) are
+    a cell of its own, so no task holds a bucket.
+    """
+
+    def cells(key, block_no, rep, label, weight, marks):
+        borders = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+        for begin, end in zip([0, *borders], [*borders, len(key)], strict=True):
+            rows = np.arange(begin, end)
+            one, other = key[begin, 1], key[begin, 2]
+            left, right = rows[block_no[rows] == one], rows[block_no[rows] == other]
+            for i in left:
+                to = right[rep[right] > rep[i]] if one == other else right
+                to = to[label[to] != label[i]]
+                to = to[np.minimum(weight[to], weight[i]) >= (least - 1e-9) * np.maximum(weight[to], weight[i])]
+                to = to[(marks[to] == marks[i]).sum(axis=1) >= agree]
+                if len(to):
+                    yield np.minimum(rep[i], rep[to]), np.maximum(rep[i], rep[to])
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in range(7)]
+            got = [np.stack(new[:3], axis=1), *new[3:], np.stack(list(texts_of(batch.column(7))))]
+            if held is not None:
+                got = [np.concatenate(x) for x in zip(held, got, strict=True)]
+            whole = np.flatnonzero(np.any(got[0] != got[0][-1], axis=1))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            held = [x[cut:] for x in got]
+            yield from out(cells(*(x[:cut] for x in got)) if cut else ())
+        if held is not None:
+            yield from out(cells(*held))
+
+    def out(found):
+        found = list(found)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    block = block or BLOCK
+    own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("other")
+    dealt = members.withColumn("block", own).select("*", other)
+    cell = ["bucket", "one", "two"]
+    placed = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "label", "weight", "marks")
+    return placed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long").distinct()
+
+
 def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct edges between different classes, their ends renamed by (id, to) where a name is given."""
     for end in ("a", "b"):
@@ -202,7 +274,7 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
     docs = documents(df)
     sketched = written(sketches(docs, bands, rows), "sketches")
     sets = ["low", "high"]
-    reps = sketched.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
+    reps = sketched.groupBy(*sets).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("bands", "weight", "marks")])
     each = reps.select("rep", F.explode("bands").alias("bucket"))
     filled = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(each.join(filled, "bucket"), "members")
@@ -215,11 +287,15 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
     links = written(verified(docs, tried, least), "verified")
     labels = classes(links)
 
-    for r in range(rounds):
-        label = F.coalesce(F.col("label"), F.col("rep"))
-        labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", label.alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("leader")).where("low != high")
-        meeting = written(labelled.join(open_.select("bucket", "leader"), "bucket"), "open")
+    def labelled() -> DataFrame:
+        return members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+
+    def mixed(rows: DataFrame, r: int) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("leader")).where("low != high").select("bucket", "leader")
+
+    for r in range(max(1, rounds)):
+        now = labelled()
+        meeting = written(now.join(mixed(now, r), "bucket"), "open")
         a, b = (meeting.where(F.col("n") <= small).alias(x) for x in "ab")
         across = a.join(b, F.expr("a.bucket = b.bucket and a.rep < b.rep and a.label != b.label")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
         led = meeting.where((F.col("n") > small) & (F.col("rep") != F.col("leader"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
@@ -227,11 +303,28 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
         if not fresh.limit(1).count():
             break
         more = written(verified(docs, fresh, least), "verified")
-        if not more.limit(1).count() and not meeting.where(F.col("n") > small).limit(1).count():
-            break
         tried = tried.union(fresh)
+        if not more.limit(1).count():
+            break
         labels = classes(more, labels)
 
+    # Small buckets have had all their pairs; the others get those that are left.
+    now = labelled().where(F.col("n") > small)
+    meeting = now.join(mixed(now, 0).select("bucket"), "bucket").join(reps.select("rep", "weight", "marks"), "rep")
+    rest = written(met(meeting, least, agreeing(bands * rows, least)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    n = rest.count()
+    part, done = F.xxhash64("a", "b"), None
+    for share in (PARTS if n > MANY else PARTS[-1:]) if n else ():
+        of = labels.select(F.col("id").alias("a"), F.col("label").alias("of_a"))
+        to = labels.select(F.col("id").alias("b"), F.col("label").alias("of_b"))
+        apart = rest.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        due = F.pmod(part, F.lit(share)) == 0
+        now = apart.where(due if done is None else due & (F.pmod(part, F.lit(done)) != 0))
+        more = written(verified(docs, written(now, "pairs"), least), "verified")
+        if more.limit(1).count():
+            labels = classes(more, labels)
+        done = share
+
     rep_of = reps.select(*sets, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("class_id"))
     classed = sketched.select("doc_id", *sets).join(rep_of, sets).select("doc_id", "class_id")
     alone = docs.select("doc_id").join(classed, "doc_id", "left")

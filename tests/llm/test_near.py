@@ -59,6 +59,28 @@ def test_chains_and_groups(spark):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(df).collect()} == components(sorted(docs))
 
 
+def test_pairs_of_a_family(spark, monkeypatch):
+    """Pairs of near copies in a family of similar texts: most buckets hold nearly all, and few pairs meet a leader."""
+    monkeypatch.setattr(dartminhash, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(dartminhash, "MANY", 1000, raising=False)
+    rng = random.Random(8)
+
+    def edited(words, places):
+        out = list(words)
+        for i in places:
+            out[i] = f"w{rng.randrange(10**9)}"
+        return out
+
+    template, docs = prose(70, 1000).split(), []
+    for pair in range(60):
+        base = edited(template, rng.sample(range(1000), 6))
+        docs += [(2 * pair + c, " ".join(edited(base, rng.sample(range(1000), 9)))) for c in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = components(docs)
+    assert len(set(expected.values())) > 30
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(df).collect()} == expected
+
+
 def test_empty(nothing, spark):
     assert dartminhash.near_duplicates(nothing).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
