@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage reads what the one before it wrote.
 
 toxicity: documents that the classifier chain rejects go.
-near-duplicates: of each class of near-duplicates the lowest id stays.
+near-duplicates: of each class of near-duplicates the lowest id stays; rows go only if their text has a kept copy.
 decontamination: documents that contain a benchmark item go.
 secrets: secrets in the texts are replaced by a mark.
 mixing: how much of each document the mix takes, and when in training.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, outer_id, table, written
 from millrace.llm.containment import without_contaminated
-from millrace.llm.dartminhash import near_duplicates
+from millrace.llm.dartminhash import near_classes
 from millrace.llm.mixing import mix
 from millrace.llm.secrets import find_secrets, redacted
 from millrace.llm.toxicity import without_toxic
@@ -32,10 +32,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
+def outer_ids(rows: DataFrame) -> DataFrame:
+    """What `documents` returned, with the ids it came with."""
+    return rows.withColumn("doc_id", F.col("given") if "given" in rows.columns else outer_id())
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = documents(docs, "lang", "source", "n_chars").withColumn("doc_id", outer_id()).select(COLUMNS)
-    first = near_duplicates(rows).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept"))
-    return rows.join(first, rows.doc_id.eqNullSafe(first.kept), "left_semi")
+    rows = documents(docs, "lang", "source", "n_chars")
+    first = near_classes(rows).where("doc_id = class_id").select("doc_id")
+    return outer_ids(rows.join(first, "doc_id", "left_semi")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = documents(docs, "lang", "source", "n_chars")
     found = find_secrets(rows).withColumn("clean", redacted(F.col("text"), F.col("spans")))
     length = F.when(F.size("spans") > 0, F.char_length("clean").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(outer_id().alias("doc_id"), F.col("clean").alias("text"), "lang", "source", length.alias("n_chars"))
+    return outer_ids(found).select("doc_id", F.col("clean").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

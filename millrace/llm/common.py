@@ -2,8 +2,10 @@
 
 Defined results that hold for every operator here: only the named columns are
 read, so extra columns with any name do no harm; a null text is an empty text;
-rows that repeat a doc_id are one document, whose text is the least of theirs;
-rows without a doc_id are one document with a null doc_id, first in id order.
+rows equal in doc_id and text are one document, and rows that share a doc_id, or
+have none, but differ in text are documents of their own, each with a row in the
+result under the id it came with. In id order a null doc_id is first, and texts
+of one doc_id follow one another in text order.
 """
 
 from __future__ import annotations
@@ -31,7 +33,12 @@ def outer_id(name: str = "doc_id") -> Column:
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, text, *more) with one row per doc_id and no null in the first two."""
+    """(doc_id, text, *more) with one row per doc_id and text, no null in the first two and no doc_id twice.
+
+    Where ids repeat with different texts, doc_id is an inner key in (id, text)
+    order, written so that it stays the same, and a column `given` has the ids;
+    `given_ids` puts them back.
+    """
     rows = df.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -40,8 +47,34 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         return rows
-    least = F.min(F.struct("text", *more)).alias("least")
-    return rows.groupBy("doc_id").agg(least).select("doc_id", "least.*")
+    if more:
+        rows = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*more)).alias("least")).select("doc_id", "text", "least.*")
+    else:
+        rows = rows.distinct()
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows
+    order = ["doc_id", "text"]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())
+    return written(placed.select(F.col("key").alias("doc_id"), "text", *more, outer_id().alias("given")), "documents")
+
+
+def given_ids(out: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """out with the ids that the documents came with in its columns (doc_id unless named)."""
+    names = out.columns
+    for c in columns or ("doc_id",):
+        if "given" in docs.columns:
+            ids = docs.select(F.col("doc_id").alias(c), F.col("given").alias("_given"))
+            out = out.join(ids, c, "left").withColumn(c, F.col("_given")).select(names)
+        else:
+            out = out.withColumn(c, outer_id(c))
+    return out
+
+
+def for_labels(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to learn from: labels know the ids that documents came with; of an id's texts the least is learnt."""
+    if "given" not in docs.columns:
+        return docs
+    return docs.where(F.col("given").isNotNull()).groupBy(F.col("given").alias("doc_id")).agg(F.min("text").alias("text"))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling
-from .common import documents, outer_id, table
+from .common import documents, given_ids, table
 from .repeats import texts_of, word_hashes
 
 SHINGLE = 5
@@ -126,7 +126,8 @@ def contained(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shing
     that repeat an item_id, the best match counts; a null item_id stays null.
     Repeated documents and null ids: see `common`. Either table may be empty.
     """
-    docs = documents(df).select("doc_id", "text")
+    rows = documents(df)
+    docs = rows.select("doc_id", "text")
     parts = []
     for shared in _blocks(docs.sparkSession, items, block):
 
@@ -137,7 +138,7 @@ def contained(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shing
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
 
         parts.append(docs.mapInArrow(search, "doc_id long, item_id long, containment double"))
-    return reduce(DataFrame.union, parts).withColumn("doc_id", outer_id())
+    return given_ids(reduce(DataFrame.union, parts), rows)
 
 
 def without_contaminated(df: DataFrame, items: DataFrame, least: float = CONTAINMENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

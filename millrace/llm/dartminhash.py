@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import idset
 from .anchors import Rolling, mix
-from .common import documents, outer_id, table, written
+from .common import documents, given_ids, table, written
 from .repeats import packed, texts_of, unpacked, word_hashes
 
 SHINGLE = 5
@@ -272,6 +272,11 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
     (a class with the null id has a null class_id). Empty tables give empty results.
     """
     docs = documents(df)
+    return given_ids(near_classes(docs, least, bands, rows, small, rounds), docs, "doc_id", "class_id")
+
+
+def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+    """`near_duplicates` of what `documents` returns, under its inner ids."""
     sketched = written(sketches(docs, bands, rows), "sketches")
     sets = ["low", "high"]
     reps = sketched.groupBy(*sets).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("bands", "weight", "marks")])
@@ -328,7 +333,7 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
     rep_of = reps.select(*sets, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("class_id"))
     classed = sketched.select("doc_id", *sets).join(rep_of, sets).select("doc_id", "class_id")
     alone = docs.select("doc_id").join(classed, "doc_id", "left")
-    return alone.select(outer_id().alias("doc_id"), F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("class_id", outer_id("class_id"))
+    return alone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

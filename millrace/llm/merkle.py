@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, outer_id, table, written
+from .common import documents, given_ids, table, written
 
 LEAF_END = r"(?<=\p{Punct}\x20|\n)"
 SECTION_END = r"(?<=[048c] )"
@@ -119,10 +119,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     also of repeated rows, have equal fingerprints; a lone document is its own
     next; an empty table gives an empty result.
     """
-    rows = with_next(documents(docs)).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    docs = documents(docs)
+    rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_leaves", labels(F.col("edited_text")))
-    return rows.select(
-        outer_id().alias("doc_id"),
+    out = rows.select(
+        "doc_id",
         "text",
         "edited_text",
         tree(F.col("leaves")).alias("fingerprint"),
@@ -130,6 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
         likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )
+    return given_ids(out, docs)
 
 
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, outer_id, table
+from .common import documents, for_labels, given_ids, table
 from .labelled import crc_fold, grams, sample, utf8
 from .repeats import texts_of, word_hashes
 
@@ -129,8 +129,8 @@ def quality(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thresh
     held_out. Repeated rows and null ids: see `common`. Empty table: no rows.
     """
     docs = documents(df)
-    rows, counts = sample(docs, labels, "quality", per_class, crc_fold() != HELD_OUT)
-    scored = score_texts(docs, train(rows, counts)).withColumn("doc_id", outer_id())
+    rows, counts = sample(for_labels(docs), labels, "quality", per_class, crc_fold() != HELD_OUT)
+    scored = given_ids(score_texts(docs, train(rows, counts)), docs)
     return scored.select("doc_id", (crc_fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

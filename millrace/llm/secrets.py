@@ -143,13 +143,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document. Null and empty texts have no spans; repeated rows and null ids: see `common`."""
-    found = find_secrets(documents(table(spark, sf_dir, "documents")))
+    docs = documents(table(spark, sf_dir, "documents"))
+    found = find_secrets(docs)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        outer_id().alias("doc_id"),
+        (F.col("given") if "given" in docs.columns else outer_id()).alias("doc_id"),
         *[count(kind) for kind, *_ in KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),

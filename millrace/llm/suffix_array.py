@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, outer_id, table
+from .common import documents, given_ids, table
 from .repeats import FOUND, count_of, covered, first_of, found, shift_of, texts_of, with_runs
 
 LENGTH = 100
@@ -135,7 +135,7 @@ def dedup_bytes(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
 
     docs = documents(df)
     out = with_runs(docs, repeated_bytes(docs, length, gram, hot), judge, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", outer_id())
+    return given_ids(out, docs)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

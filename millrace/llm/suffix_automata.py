@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, outer_id, table
+from .common import documents, given_ids, table
 from .repeats import FOUND, covered, first_of, found, texts_of, with_runs, word_hashes, word_spans
 
 LENGTH = 20
@@ -136,7 +136,7 @@ def dedup_words(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
 
     docs = documents(df)
     out = with_runs(docs, repeated_words(docs, length, gram, hot), judge, "n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", outer_id())
+    return given_ids(out, docs)
 
 
 def op10_suffix_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, outer_id, table, tokenizer_dir
+from .common import documents, given_ids, table, tokenizer_dir
 from .repeats import texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -100,8 +100,9 @@ def token_counts(df: DataFrame, directory: str | None = None, vocabulary: str =
             names = ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    rows = documents(df).select("doc_id", "text")
-    return rows.mapInArrow(count, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>").withColumn("doc_id", outer_id())
+    docs = documents(df)
+    counted = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>")
+    return given_ids(counted, docs)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

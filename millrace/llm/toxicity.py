@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, mix
-from .common import documents, outer_id, table
+from .common import documents, for_labels, given_ids, table
 from .labelled import letter_runs, lowered, sample, utf8
 from .repeats import texts_of
 
@@ -157,14 +157,14 @@ def toxicity(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thres
     Empty table: no rows.
     """
     docs = documents(df)
-    rows, counts = sample(docs, labels, "toxic", per_class, F.lit(True))
+    rows, counts = sample(for_labels(docs), labels, "toxic", per_class, F.lit(True))
     scored = score_texts(docs, train(rows, counts))
-    return scored.withColumn("doc_id", outer_id()).withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
+    return given_ids(scored, docs).withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df, with all their columns, whose text is not toxic; judged row by row, without a shuffle."""
-    rows, counts = sample(documents(df), labels, "toxic", per_class, F.lit(True))
+    rows, counts = sample(for_labels(documents(df)), labels, "toxic", per_class, F.lit(True))
     shared = df.sparkSession.sparkContext.broadcast(train(rows, counts))
     at = df.columns.index("text")
 
