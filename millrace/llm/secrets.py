@@ -119,12 +119,12 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, size: int =
     """docs with `base` and `spans`: spans of the fixed patterns, and those with what the models add.
 
     The models are trained on docs themselves unless ratios of `train` are given. docs has doc_id and text without nulls, as `common.documents` returns.
-    Runs that overlap a base span are not added again. Places are code points.
+    Runs that lie within a base span are not added again; longer ones are, and overlap it. Places are code points.
     """
     ratios = train(docs, size) if ratios is None else ratios
     rows = docs.withColumn("base", base_spans(F.col("text")))
     more = markov_spans(F.col("text"), ratios)
-    fresh = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    fresh = F.filter(more, lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return rows.withColumn("spans", F.array_sort(F.concat("base", fresh)))
 
 

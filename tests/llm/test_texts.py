@@ -49,6 +49,15 @@ def test_secrets(spark):
     assert "hunter22" not in got[-(2**63)]["clean"] and got[7]["clean"] == "[SECRET]"
 
 
+def test_runs_around_fixed_matches(spark):
+    """A longer secret with a hex match inside goes as a whole."""
+    run = RANDOM + "0f3a" * 6 + RANDOM
+    df = spark.createDataFrame([(1, f"a key {run} here")], "doc_id long, text string")
+    ratios = secrets.train(documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    row = secrets.find_secrets(documents(df), ratios).select(secrets.listed(F.col("spans")).alias("spans"), secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert row["spans"].startswith("markov:6:") and "hex:" in row["spans"] and row["clean"] == "a key [SECRET] here"
+
+
 def test_secrets_of_nothing(nothing):
     assert secrets.find_secrets(documents(nothing)).count() == 0
 
