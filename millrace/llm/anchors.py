@@ -64,17 +64,16 @@ class Rolling:
 
 
 def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(key, context, first, last, at) per anchor of a sequence; windows first..last chose the gram at `at`.
+    """(key, first, last, at) per anchor of a sequence; windows first..last chose the gram at `at`.
 
-    key is the hash of the anchor's gram; context is the hash of all symbols that
-    those windows cover. Sequences shorter than `length` have no window.
+    key is the hash of the anchor's gram. Sequences shorter than `length` have
+    no window.
     """
     n = len(symbols)
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
-    rolling = Rolling(symbols)
-    hashes = rolling.grams(gram)
+        return none.view(np.uint64), none, none, none
+    hashes = Rolling(symbols).grams(gram)
     width, m = length - gram + 1, len(hashes)
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
     blocks = -(-m // width)
@@ -88,5 +87,4 @@ def anchors(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.append(first[1:], windows) - 1
     place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    context = rolling.spans(first, last + length)
-    return hashes[place].view(np.int64), context.view(np.int64), first, last, place
+    return hashes[place], first, last, place

@@ -16,11 +16,17 @@ smaller id, or in the same document before. The work goes in three steps.
    method of the operator. Keys with more than `hot` candidates are not put
    into one task: their windows are sorted by range one by one (`sorted_out`).
 3. The repeats found go back to their documents.
+
+Keys only bring rows together. Equality is judged on the symbols themselves (2)
+or on 128 bits of BLAKE2b of their bytes (1 and `sorted_out`), never on a
+rolling hash. Memory: a task holds about ten arrays of eight bytes a symbol of
+the text it is at, so the longest text must be a small share of a task's memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -30,14 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import idset
-from .anchors import Rolling, anchors
+from .anchors import Rolling, anchors, mix
 from .common import written
 
-ANCHOR = "key long, context long, doc_id long, place long"
+ANCHOR = "key long, context long, more long, doc_id long, place long"
 SETTLED = "key long, doc_id long, place long, repeat boolean"
 FOUND = "doc_id long, first long, last long"
 
-Symbols = Callable[[np.ndarray], np.ndarray]
+
+
+@dataclass
+class Sequence:
+    """Symbols of one text: their hashes (or the symbols, if they are bytes), and where each starts in `data`."""
+
+    symbols: np.ndarray
+    data: np.ndarray
+    #: Start of each symbol and, one gap after it, of what would follow the last; None: every byte is a symbol.
+    starts: np.ndarray | None = None
+
+    def cuts(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The symbols of each span [first, end) as bytes; equal bytes, equal symbols."""
+        data = self.data.tobytes()
+        if self.starts is not None:
+            first, end = self.starts[first], self.starts[end] - 1
+        return [data[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits of each span, as two columns of 64."""
+        return np.frombuffer(b"".join([blake2b(s, digest_size=16).digest() for s in self.cuts(first, end)]), dtype=np.int64).reshape(-1, 2)
+
+
+Symbols = Callable[[np.ndarray], Sequence]
+#: A key's highest bits, if they are to follow the symbols' order: of places in a sequence, with how many bits.
+Lead = Callable[[Sequence, np.ndarray], tuple[np.ndarray, int]]
 
 
 def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
@@ -59,10 +90,47 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_SIZE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed by BLAKE2b, one by one.
+_LONG = 1024
+
+
 def word_hashes(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word, chained over its eight-byte parts."""
     starts, ends = word_spans(text)
-    return Rolling(text).spans(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    padded = np.zeros(len(text) + 8, dtype=np.uint8)
+    padded[: len(text)] = text
+    parts = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    value = mix((parts[starts] & _KEEP[np.minimum(size, 8)]) + size.astype(np.uint64) * _SIZE)
+    step, more = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(more):
+        part = parts[starts[more] + step] & _KEEP[np.minimum(size[more] - step, 8)]
+        value[more] = mix(value[more] * _SIZE + mix(part + np.uint64(step)))
+        step += 8
+        more = more[size[more] > step]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        value[i] = int.from_bytes(blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return value
+
+
+def words_of(text: np.ndarray) -> Sequence:
+    """The words of a text, joined by single blanks."""
+    blank = (text == 0x20) | ((text >= 0x09) & (text <= 0x0D))
+    after = np.concatenate(([True], blank[:-1]))  # the start of the text, too, follows a blank
+    keep = ~(blank & after)
+    data = np.where(blank, 0x20, text).astype(np.uint8)[keep]
+    starts = np.flatnonzero((~blank & after)[keep])
+    ended = len(data) if not len(data) or data[-1] == 0x20 else len(data) + 1
+    return Sequence(word_hashes(text), data, np.append(starts, ended))
+
+
+def bytes_of(text: np.ndarray) -> Sequence:
+    return Sequence(text, text)
 
 
 # A place is first window << 16 | windows - 1 << 8 | anchor - first window.
@@ -78,18 +146,30 @@ def shift_of(place: np.ndarray) -> np.ndarray:
     return place & 0xFF
 
 
-def anchored(docs: DataFrame, symbols: Symbols, length: int, gram: int) -> DataFrame:
+def anchored(docs: DataFrame, symbols: Symbols, length: int, gram: int, lead: Lead | None = None) -> DataFrame:
     if not 0 < gram <= length < gram + 128:
         raise ValueError("length - gram must be 0 to 127")
+    names = ["key", "context", "more", "doc_id", "place"]
 
     def rows(batches):
         for batch in batches:
-            parts = []
+            parts, held = [], 0
             for doc_id, text in zip(batch.column(0).to_numpy(), texts_of(batch.column(1)), strict=True):
-                key, context, first, last, at = anchors(symbols(text), length, gram)
-                parts.append((key, context, np.full(len(key), doc_id), first << 16 | (last - first) << 8 | (at - first)))
-            for some in range(0, len(parts), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts[some : some + 2000], strict=True)], ["key", "context", "doc_id", "place"])
+                whole = symbols(text)
+                key, first, last, at = anchors(whole.symbols, length, gram)
+                if not len(key):
+                    continue
+                if lead is not None:
+                    head, bits = lead(whole, at)
+                    key = head << np.uint64(64 - bits) | key >> np.uint64(bits)
+                context = whole.digests(first, last + length)
+                parts.append((key.view(np.int64), context[:, 0], context[:, 1], np.full(len(key), doc_id), first << 16 | (last - first) << 8 | (at - first)))
+                held += len(key)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, ANCHOR)
 
@@ -98,15 +178,14 @@ def _settle(batches):
     """Decide sorted anchors by their neighbours; see the module's text."""
     last = waiting = None
     for batch in batches:
-        key, context, doc_id, place = (batch.column(i).to_numpy() for i in range(4))
+        key, context, more, doc_id, place = (batch.column(i).to_numpy() for i in range(5))
         if not len(key):
             continue
+        before = last if last is not None else (key[0], context[0], more[0])
+        same_key = key == np.concatenate(([before[0]], key[:-1]))
+        same = same_key & (context == np.concatenate(([before[1]], context[:-1]))) & (more == np.concatenate(([before[2]], more[:-1])))
         if last is None:
-            same_key = np.concatenate(([False], key[1:] == key[:-1]))
-            same = same_key & np.concatenate(([False], context[1:] == context[:-1]))
-        else:
-            same_key = key == np.concatenate(([last[0]], key[:-1]))
-            same = same_key & (context == np.concatenate(([last[1]], context[:-1])))
+            same_key[0] = same[0] = False
         repeats = np.flatnonzero(same)
         heads = np.flatnonzero(~same)
         if len(heads):
@@ -121,7 +200,7 @@ def _settle(batches):
             waiting = (h_key[-1], h_doc[-1], h_place[-1], near[-1])
         else:
             chosen, h_key, h_doc, h_place = np.zeros(0, np.int64), key[:0], doc_id[:0], place[:0]
-        last = key[-1], context[-1]
+        last = key[-1], context[-1], more[-1]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate((key[repeats], h_key[chosen]))),
@@ -136,7 +215,7 @@ def _settle(batches):
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    order = ["key", "context", "doc_id", "place"]
+    order = ["key", "context", "more", "doc_id", "place"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_settle, SETTLED)
 
 
@@ -166,16 +245,15 @@ def _held(candidates: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def contexts(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length: int) -> DataFrame:
-    """(key, doc_id, place, symbols): the symbols that a candidate's windows cover."""
+    """(key, doc_id, place, symbols): the symbols that a candidate's windows cover, as `Sequence.cuts` gives them."""
 
     def rows(batches):
         for batch in batches:
             for doc_id, text, keys, places in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 key, place = keys.values.to_numpy(), places.values.to_numpy()
-                whole = symbols(text)
                 first, count = first_of(place), count_of(place)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.full(len(key), doc_id)), pa.array(place), pa.array([whole[a:b].tobytes() for a, b in zip(first, first + count - 1 + length, strict=True)], pa.binary())],
+                    [pa.array(key), pa.array(np.full(len(key), doc_id)), pa.array(place), pa.array(symbols(text).cuts(first, first + count - 1 + length), pa.binary())],
                     ["key", "doc_id", "place", "symbols"],
                 )
 
@@ -193,10 +271,10 @@ def sorted_out(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length
     def windows(batches):
         for batch in batches:
             for doc_id, text, places in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(3), strict=True):
-                place, whole = places.values.to_numpy(), symbols(text)
+                place = places.values.to_numpy()
                 starts = np.concatenate([np.arange(a, a + n) for a, n in zip(first_of(place), count_of(place), strict=True)])
-                digests = [blake2b(whole[i : i + length].tobytes(), digest_size=16).digest() for i in starts.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(starts), doc_id)), pa.array(starts)], ["window", "doc_id", "start"])
+                digests = symbols(text).digests(starts, starts + length)
+                yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(np.full(len(starts), doc_id)), pa.array(starts)], ["window", "doc_id", "start"])
 
     def compare(batches):
         from pyspark import TaskContext
@@ -227,13 +305,13 @@ def sorted_out(candidates: DataFrame, blobs: DataFrame, symbols: Symbols, length
     return marked.where("same").select("doc_id", "start").union(across.select("doc_id", "start")).select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def found(docs: DataFrame, symbols: Symbols, length: int, gram: int, hot: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def found(docs: DataFrame, symbols: Symbols, length: int, gram: int, hot: int, compare: Callable[[DataFrame], DataFrame], lead: Lead | None = None) -> DataFrame:
     """(doc_id, first, last): runs of windows that start earlier elsewhere.
 
     `compare` gets the contexts of keys with up to `hot` candidates each and
     returns FOUND rows.
     """
-    rows = written(settled(anchored(docs, symbols, length, gram)), "settled")
+    rows = written(settled(anchored(docs, symbols, length, gram, lead)), "settled")
     place = F.col("place")
     first = F.shiftright(place, 16)
     whole = rows.where("repeat").select("doc_id", first.alias("first"), (first + F.shiftright(place, 8).bitwiseAND(F.lit(0xFF))).alias("last"))
