@@ -45,6 +45,8 @@ SMALL = 8
 ROUNDS = 3
 #: Members of a larger bucket that meet as many others at once.
 BLOCK = 512
+#: Most sets of equal documents that are broadcast, the largest ones.
+HOT_SETS = 10_000
 #: Chance that the signatures of a linked pair agree less than is asked of a pair of a block.
 MISS = 1e-9
 #: More open pairs than MANY are verified in parts (one of 64, one of 8, all), without those that a part before has linked.
@@ -279,7 +281,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     """`near_duplicates` of what `documents` returns, under its inner ids."""
     sketched = written(sketches(docs, bands, rows), "sketches")
     sets = ["low", "high"]
-    reps = sketched.groupBy(*sets).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("bands", "weight", "marks")])
+    reps = sketched.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in ("bands", "weight", "marks")])
     each = reps.select("rep", F.explode("bands").alias("bucket"))
     filled = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(each.join(filled, "bucket"), "members")
@@ -330,11 +332,39 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
             labels = classes(more, labels)
         done = share
 
-    rep_of = reps.select(*sets, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("class_id"))
-    classed = sketched.select("doc_id", *sets).join(rep_of, sets).select("doc_id", "class_id")
+    rep_of = written(reps.select(*sets, "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, "copies", F.coalesce("label", "rep").alias("class_id")), "reps")
+    classed = copies_classed(sketched.select("doc_id", *sets), rep_of, sets)
     alone = docs.select("doc_id").join(classed, "doc_id", "left")
     return alone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def copies_classed(copies: DataFrame, rep_of: DataFrame, sets: list[str]) -> DataFrame:
+    """(doc_id, class_id) of every document of a set; the sets of very many documents are broadcast, so that none is one task.
+
+    Those are the sets with at least one in HOT_SETS of all documents, so HOT_SETS at most.
+    """
+    hot = max(1000, -(-copies.count() // HOT_SETS))
+    few = rep_of.where(F.col("copies") >= hot).select(*sets, "class_id")
+    met_few = copies.join(F.broadcast(few), sets, "left")
+    rest = met_few.where("class_id is null").drop("class_id").join(rep_of.where(F.col("copies") < hot).select(*sets, "class_id"), sets)
+    return met_few.where("class_id is not null").select("doc_id", "class_id").union(rest.select("doc_id", "class_id"))
+
+
 def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of distinct weighted sets that share a shingle, and the least id that links reach.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS n FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS t(i) GROUP BY doc_id, s),
+sets AS (SELECT doc_id, md5(string_agg(s || '=' || n, chr(10) ORDER BY s)) AS h, sum(n) AS total FROM sh GROUP BY doc_id),
+rep AS MATERIALIZED (SELECT h, min(doc_id) AS rep, any_value(total) AS total FROM sets GROUP BY h),
+rs AS MATERIALIZED (SELECT rep, total, s, n FROM rep JOIN sh ON doc_id = rep),
+link AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM rs a JOIN rs b ON a.s = b.s AND a.rep < b.rep AND least(a.total, b.total) >= 0.79 * greatest(a.total, b.total)
+  GROUP BY a.rep, b.rep, a.total, b.total HAVING sum(least(a.n, b.n)) / (a.total + b.total - sum(least(a.n, b.n)))::DOUBLE >= 0.8),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS id, a AS to_ FROM both_ways UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.to_ = both_ways.a),
+label AS (SELECT id, min(to_) AS label FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(label, rep, d.doc_id) AS class_id FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (h) LEFT JOIN label ON label.id = rep
+"""

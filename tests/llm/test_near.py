@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from millrace.llm import containment, dartminhash
@@ -81,6 +82,21 @@ def test_pairs_of_a_family(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(df).collect()} == expected
 
 
+def test_against_sql(spark):
+    """Every document of a given table, against all pairs in SQL; once more with sets of two documents taken for hot ones."""
+    docs = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{docs}/documents.parquet'")
+    expected = {r[0]: r[1] for r in duckdb.sql(dartminhash.OP4_SQL).fetchall()}
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.op4_dartminhash(spark, docs).collect()} == expected
+    assert sum(d != c for d, c in expected.items()) > 50
+
+
+def test_sets_of_many_documents(spark):
+    copies = [(i, f"all the same words as {i % 2}" if i % 5 else f"none but {i}") for i in range(6000)]
+    out = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert out == {i: (i if i % 5 == 0 else 2 - i % 2) for i in range(6000)}
+
+
 def test_empty(nothing, spark):
     assert dartminhash.near_duplicates(nothing).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
