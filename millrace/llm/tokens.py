@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,12 @@ from .repeats import texts_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging; a fixed value that belongs to it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: white space as the pattern has it.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters that the encoder gets at once, and the longest run of white space that its pattern is given.
+PIECE, RUN = 1_000_000, 20_000
+BORDER = re.compile(rf"(?<=[^{BLANK}]) ")
+LONG_RUN = re.compile(rf"[{BLANK}]{{{RUN},}}")
 
 
 class Encoder:
@@ -38,8 +45,34 @@ class Encoder:
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
 
+    def pieces(self, text: str):
+        """Cuts of a text at places where the pattern always ends a word: before a blank after something else."""
+        at = 0
+        while len(text) - at > PIECE:
+            border = BORDER.search(text, at + PIECE)
+            if border is None:
+                break
+            yield text[at : border.start()]
+            at = border.start()
+        yield text[at:]
+
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        """Tokens of a whole text, as `encode_ordinary` would give them.
+
+        The pattern fails on very long runs of white space, so those are cut out
+        as it would cut them: a run is one word, but for its last character if
+        something follows.
+        """
+        if len(text) <= RUN:
+            return np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        parts, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [self.encoding.encode_ordinary(p) for p in self.pieces(text[at : run.start()])]
+            parts.append(self.encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        parts += [self.encoding.encode_ordinary(p) for p in self.pieces(text[at:])]
+        return np.concatenate([np.array(p, dtype=np.int64) for p in parts])
 
     def spans(self, text: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last. Tokens inside one character share it."""
@@ -81,7 +114,9 @@ def attribute(first: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[n
 def token_counts(df: DataFrame, directory: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document: (doc_id, n_tokens, n_sections, n_crossing, section_tokens).
 
-    Whole texts are encoded. Null and empty texts have no tokens and one section
+    Whole texts are encoded, very long ones in pieces cut where no token crosses,
+    with the same tokens (memory: some 100 bytes a character of the longest
+    text). Null and empty texts have no tokens and one section
     of none. Repeated rows and null ids: see `common`. An empty table gives an
     empty result.
     """
@@ -91,7 +126,8 @@ def token_counts(df: DataFrame, directory: str | None = None, vocabulary: str =
         encoder = Encoder(path)
         for batch in batches:
             out = []
-            for doc_id, text, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(1)), strict=True):
+            for doc_id, data in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                text = data.tobytes().decode()
                 starts = sections(data) if len(data) else np.zeros(1, np.int64)
                 first, end = encoder.spans(text, data)
                 counts, crossing = attribute(first, end, starts)
