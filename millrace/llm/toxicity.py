@@ -1,16 +1,17 @@
 """Toxicity by a classifier chain of linear models, in numpy.
 
-The labels say only toxic or not. Categories come from TERMS: a toxic document
-that names one of a category's terms belongs to the category. The chain goes
-from the categories to the label itself: each model is a logistic regression on
-which words and beginnings of words a document has, plus the probabilities of the
-categories before it. Those are predicted out of fold while training, so that a
-later model sees earlier ones as wrong as they will be on new documents.
+The labels say only toxic or not. Categories are learnt: the toxic documents of
+the sample are clustered by the features that tell them from clean ones
+(spherical k-means), so a category is a way of being toxic that the data show, in
+whatever language. The chain goes from the categories, the largest first, to the
+label itself: each model is a logistic regression on which words and beginnings of
+words a document has, plus the probabilities of the categories before it. Those
+are predicted out of fold while training, so that a later model sees earlier
+ones as wrong as they will be on new documents.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,9 @@ from .common import documents, for_labels, given_ids, table
 from .labelled import letter_runs, lowered, sample, utf8
 from .repeats import texts_of
 
-#: Terms that make a toxic document one of a category.
-TERMS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum", "stupid"),
-    "contempt": ("disgusting", "pathetic", "trash", "worthless"),
-}
-CHAIN = (*TERMS, "toxic")
+#: Categories of toxic documents, learnt as clusters, and the rounds of clustering.
+CATEGORIES, ROUNDS = 3, 25
+CHAIN = (*(f"category_{c + 1}" for c in range(CATEGORIES)), "toxic")
 SLOTS = 1 << 20
 #: Lengths, in bytes, of the beginnings of words.
 HEADS = (4, 5, 6, 7, 8, 9)
@@ -95,6 +93,35 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 300) ->
     return w[:-1], float(w[-1])
 
 
+def clusters(x: np.ndarray, k: int = CATEGORIES, rounds: int = ROUNDS) -> np.ndarray:
+    """Cluster of each row by spherical k-means, numbered by size; the same in every run.
+
+    Centres start at the row nearest to the mean, then at rows least like the
+    centres so far. Rows without features are in no cluster (-1).
+    """
+    norm = np.linalg.norm(x, axis=1)
+    which = np.full(len(x), -1)
+    at = np.flatnonzero(norm > 0)
+    if not len(at):
+        return which
+    unit = x[at] / norm[at, None]
+    centres = [unit[np.argmax(unit @ unit.mean(axis=0))]]
+    while len(centres) < min(k, len(at)):
+        centres.append(unit[np.argmin((unit @ np.array(centres).T).max(axis=1))])
+    centre = np.array(centres)
+    own = np.zeros(len(at), dtype=np.int64)
+    for _ in range(rounds):
+        own = np.argmax(unit @ centre.T, axis=1)
+        sums = np.array([unit[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
+        new = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
+        if np.allclose(new, centre):
+            break
+        centre = new
+    place = np.argsort(np.argsort(-np.bincount(own, minlength=len(centre)), kind="stable"), kind="stable")
+    which[at] = place[own]
+    return which
+
+
 def train(rows: list[tuple[int, str, int]], counts: dict[int, int], kept: int = KEPT, folds: int = FOLDS) -> Chain:
     """Fit the chain on a sample of both classes; counts are those of all labels, whose shares the biases return to."""
     prior = np.log(max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5))
@@ -116,9 +143,12 @@ def train(rows: list[tuple[int, str, int]], counts: dict[int, int], kept: int =
         at = column[s]
         x[i, at[at >= 0]] = 1
     targets = np.zeros((len(CHAIN), len(rows)))
-    for c, name in enumerate(CHAIN):
-        terms = re.compile(r"(?i)\b(?:" + "|".join(TERMS[name]) + r")\b") if name in TERMS else None
-        targets[c] = y if terms is None else [label == 1 and bool(terms.search(text)) for (_, text, label) in rows]
+    toxic = np.flatnonzero(y == 1)
+    if len(toxic):
+        own = clusters(x[toxic].astype(np.float64))
+        for c in range(CATEGORIES):
+            targets[c, toxic[own == c]] = 1
+    targets[-1] = y
     fold = np.array([(doc_id * 2654435761 >> 7) % folds for doc_id, _, _ in rows], dtype=np.int64)
     seen = np.zeros((len(rows), len(CHAIN)), dtype=np.float32)  # out-of-fold probabilities
     weights, earlier, bias = np.zeros((len(CHAIN), len(best))), np.zeros((len(CHAIN), len(CHAIN))), np.zeros(len(CHAIN))
@@ -149,12 +179,13 @@ def score_texts(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def toxicity(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: (doc_id, p_insult, p_contempt, p_toxic, toxic).
+    """One row per document: (doc_id, p_category_1, ..., p_toxic, toxic).
 
     toxic is 1 if p_toxic reaches the threshold. Null and empty texts have no
     feature and get the models' biases; without labels of both classes nothing
     is toxic unless every label says so. Repeated rows and null ids: see `common`.
-    Empty table: no rows.
+    Very long texts are judged whole, by which words they have; a task holds a few
+    arrays of eight bytes a byte of the text it is at. Empty table: no rows.
     """
     docs = documents(df)
     rows, counts = sample(for_labels(docs), labels, "toxic", per_class, F.lit(True))
