@@ -22,4 +22,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_containment": containment.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {
+        "op3_suffix_array_dedup": suffix_array.OP3_SQL,
+        "op4_dartminhash": dartminhash.OP4_SQL,
+        "op5_containment": containment.OP5_SQL,
+        "op6_merkle_fingerprints": merkle.OP6_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op10_suffix_automata_dedup": suffix_automata.OP10_SQL,
+    }
