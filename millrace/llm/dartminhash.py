@@ -15,10 +15,11 @@ each is compared only with leaders of its bucket (the least id and the one that
 shares most buckets), not with all. Links are verified by the exact similarity.
 Buckets whose documents are not yet in one class are gone over again: all pairs
 across classes in buckets of at most SMALL, other leaders in larger ones. What
-the leaders leave open is settled pair by pair: members of a mixed bucket meet
-in blocks, and pairs across classes are verified unless their sizes rule the
-similarity out or their signatures agree so little that a linked pair would do
-so once in 10^9 times.
+the leaders leave open is settled in cells: members of a mixed bucket meet in
+blocks, and pairs across classes are open unless their sizes rule the similarity
+out or their signatures agree so little that a linked pair would do so once in
+10^9 times. A cell verifies its open pairs and gives the links that join classes,
+so what leaves it is at most a link a member, whatever the number of pairs.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ BLOCK = 512
 HOT_SETS = 10_000
 #: Chance that the signatures of a linked pair agree less than is asked of a pair of a block.
 MISS = 1e-9
-#: More open pairs than MANY are verified in parts (one of 64, one of 8, all), without those that a part before has linked.
-MANY, PARTS = 200_000, (64, 8, 1)
+#: Shingles of the texts of a cell that are held at once.
+HELD = 20_000_000
 
 #: Cumulative probabilities of a Poisson(1) number.
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 16)))))
@@ -177,55 +178,127 @@ def agreeing(k: int, least: float, miss: float = MISS) -> int:
     return t
 
 
-def met(members: DataFrame, least: float, agree: int, block: int | None = None) -> DataFrame:
-    """(a, b): distinct pairs of different labels in one bucket that may be `least` similar; members: (bucket, rep, label, n, weight, marks).
+CELL = ["bucket", "one", "two"]
+MEMBER = "bucket long, one long, two long, block long, rep long, label long, weight long, marks binary, bands array<long>"
+
+
+class Cell:
+    """Members of one bucket, of two of its blocks (or one): which pairs of them are still open.
+
+    Open are pairs of different labels whose sizes allow the similarity, whose
+    signatures agree enough, and that meet in no band before this one, so that a
+    pair is open in one bucket only.
+    """
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table, least: float, agree: int):
+        bucket, self.one, self.two, self.block, self.rep, self.label, self.weight = (rows.column(c).to_numpy() for c in range(7))
+        self.marks = np.stack(list(texts_of(rows.column(7))))
+        self.bands = np.stack(rows.column(8).to_numpy(zero_copy_only=False))
+        self.least, self.agree = least, agree
+        self.band = int(np.flatnonzero(self.bands[0] == bucket[0])[0])
+
+    def open_pairs(self):
+        """(i, [j, ...], [agreement, ...]) for each member i with open pairs."""
+        rows = np.arange(len(self.rep))
+        left, right = rows[self.block == self.one[0]], rows[self.block == self.two[0]]
+        for i in left:
+            to = right[self.rep[right] > self.rep[i]] if self.one[0] == self.two[0] else right
+            to = to[self.label[to] != self.label[i]]
+            to = to[np.minimum(self.weight[to], self.weight[i]) >= (self.least - 1e-9) * np.maximum(self.weight[to], self.weight[i])]
+            alike = (self.marks[to] == self.marks[i]).sum(axis=1)
+            first = np.argmax(self.bands[to] == self.bands[i], axis=1)
+            keep = (alike >= self.agree) & (first == self.band)
+            if keep.any():
+                yield i, to[keep], alike[keep]
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell at a time, of batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            if held:
+                before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in range(3)]
+                if list(key[0]) != before:
+                    yield pa.Table.from_batches(held)
+                    held = []
+            other = np.flatnonzero(np.any(key != key[0], axis=1))
+            cut = int(other[0]) if len(other) else batch.num_rows
+            held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def open_members(members: DataFrame, least: float, agree: int, block: int | None = None) -> DataFrame:
+    """MEMBER rows of the members with open pairs, in the cells where they are open; members: (bucket, rep, label, n, weight, marks, bands).
 
     A bucket is cut into blocks, and every two of them (and each with itself) are
     a cell of its own, so no task holds a bucket.
     """
 
-    def cells(key, block_no, rep, label, weight, marks):
-        borders = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-        for begin, end in zip([0, *borders], [*borders, len(key)], strict=True):
-            rows = np.arange(begin, end)
-            one, other = key[begin, 1], key[begin, 2]
-            left, right = rows[block_no[rows] == one], rows[block_no[rows] == other]
-            for i in left:
-                to = right[rep[right] > rep[i]] if one == other else right
-                to = to[label[to] != label[i]]
-                to = to[np.minimum(weight[to], weight[i]) >= (least - 1e-9) * np.maximum(weight[to], weight[i])]
-                to = to[(marks[to] == marks[i]).sum(axis=1) >= agree]
-                if len(to):
-                    yield np.minimum(rep[i], rep[to]), np.maximum(rep[i], rep[to])
-
-    def compare(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(c).to_numpy() for c in range(7)]
-            got = [np.stack(new[:3], axis=1), *new[3:], np.stack(list(texts_of(batch.column(7))))]
-            if held is not None:
-                got = [np.concatenate(x) for x in zip(held, got, strict=True)]
-            whole = np.flatnonzero(np.any(got[0] != got[0][-1], axis=1))
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            held = [x[cut:] for x in got]
-            yield from out(cells(*(x[:cut] for x in got)) if cut else ())
-        if held is not None:
-            yield from out(cells(*held))
-
-    def out(found):
-        found = list(found)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+    def rows(batches):
+        for table_ in by_cell(batches):
+            table_ = table_.combine_chunks()
+            mine = np.zeros(table_.num_rows, dtype=bool)
+            for i, to, _ in Cell(table_, least, agree).open_pairs():
+                mine[i] = True
+                mine[to] = True
+            yield from table_.filter(pa.array(mine)).to_batches()
 
     block = block or BLOCK
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("long")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("other")
     dealt = members.withColumn("block", own).select("*", other)
-    cell = ["bucket", "one", "two"]
-    placed = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "label", "weight", "marks")
-    return placed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long").distinct()
+    placed = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "label", "weight", "marks", "bands")
+    return placed.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(rows, MEMBER)
+
+
+def cell_links(docs: DataFrame, members: DataFrame, least: float, agree: int) -> DataFrame:
+    """(a, b, similarity): links that join the labels of `open_members`, at most one less than a cell has members.
+
+    A cell's open pairs are verified by the exact similarity, the most agreeing
+    ones first; a pair whose labels are joined by then needs none.
+    """
+
+    def rows(batches):
+        for table_ in by_cell(batches):
+            table_ = table_.combine_chunks()
+            cell, blobs = Cell(table_, least, agree), table_.column(9)
+            pairs = [(-n, i, j) for i, to, alike in cell.open_pairs() for j, n in zip(to.tolist(), alike.tolist(), strict=True)]
+            parent: dict[int, int] = {}
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            size, out = 0, []
+
+            def top(x: int, parent=parent) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            for _, i, j in sorted(pairs):
+                a, b = top(int(cell.label[i])), top(int(cell.label[j]))
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        if size > HELD:
+                            sets.clear()
+                            size = 0
+                        sets[k] = shingles(next(unpacked([blobs[k]])))
+                        size += len(sets[k][0])
+                if i not in sets:  # cleared for j
+                    sets[i] = shingles(next(unpacked([blobs[i]])))
+                s = similarity(sets[i], sets[j])
+                if s >= least:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((*sorted((int(cell.rep[i]), int(cell.rep[j]))), s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    texts = packed(docs, idset.bitmap(members.select(F.col("rep").alias("doc_id"))))
+    held = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*[c.split()[0] for c in MEMBER.split(", ")], "packed")
+    return held.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(rows, "a long, b long, similarity double")
 
 
 def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -315,22 +388,15 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
             break
         labels = classes(more, labels)
 
-    # Small buckets have had all their pairs; the others get those that are left.
+    # Small buckets have had all their pairs; in the others, cells settle those that are left.
     now = labelled().where(F.col("n") > small)
-    meeting = now.join(mixed(now, 0).select("bucket"), "bucket").join(reps.select("rep", "weight", "marks"), "rep")
-    rest = written(met(meeting, least, agreeing(bands * rows, least)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    n = rest.count()
-    part, done = F.xxhash64("a", "b"), None
-    for share in (PARTS if n > MANY else PARTS[-1:]) if n else ():
-        of = labels.select(F.col("id").alias("a"), F.col("label").alias("of_a"))
-        to = labels.select(F.col("id").alias("b"), F.col("label").alias("of_b"))
-        apart = rest.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-        due = F.pmod(part, F.lit(share)) == 0
-        now = apart.where(due if done is None else due & (F.pmod(part, F.lit(done)) != 0))
-        more = written(verified(docs, written(now, "pairs"), least), "verified")
+    meeting = now.join(mixed(now, 0).select("bucket"), "bucket").join(reps.select("rep", "weight", "marks", "bands"), "rep")
+    agree = agreeing(bands * rows, least)
+    open_ = written(open_members(meeting, least, agree), "open")
+    if open_.limit(1).count():
+        more = written(cell_links(docs, open_, least, agree), "verified")
         if more.limit(1).count():
             labels = classes(more, labels)
-        done = share
 
     rep_of = written(reps.select(*sets, "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, "copies", F.coalesce("label", "rep").alias("class_id")), "reps")
     classed = copies_classed(sketched.select("doc_id", *sets), rep_of, sets)

@@ -62,8 +62,7 @@ def test_chains_and_groups(spark):
 
 def test_pairs_of_a_family(spark, monkeypatch):
     """Pairs of near copies in a family of similar texts: most buckets hold nearly all, and few pairs meet a leader."""
-    monkeypatch.setattr(dartminhash, "BLOCK", 50, raising=False)
-    monkeypatch.setattr(dartminhash, "MANY", 1000, raising=False)
+    monkeypatch.setattr(dartminhash, "BLOCK", 50)
     rng = random.Random(8)
 
     def edited(words, places):
