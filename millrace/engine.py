@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -58,7 +58,10 @@ class Engine:
     def exposures(self, hits: DataFrame, queries: DataFrame, client: str, now: Column, first_id: int) -> DataFrame:
         """Log rows of the hits of searches, to be appended."""
         rows = hits.join(queries.select("query_id", "query"), "query_id")
-        number = F.lit(first_id) + F.row_number().over(_by_query()) - 1
+        per = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per query
+        rows = rows.join(per.select("query_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "query_id")
+        number = F.lit(first_id) + F.col("_before") + F.row_number().over(Window.partitionBy("query_id").orderBy("final_rank")) - 1
         return rows.select(number.cast("long").alias("id"), now.alias("ts"), F.lit("search").alias("kind"), "query", F.lit(client).alias("client"), F.col("id").alias("memory_id"), F.col("final_rank").cast("int").alias("rank"), "score")
 
     def get(self, keys: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ class Engine:
     def skills(self, scope: str | None = None, include_deleted: bool = False) -> DataFrame:
         rows = self.records().where("type = 'skill'")
         rows = rows if include_deleted else rows.where("deleted_at is null")
-        return rows if scope is None or "scope" not in rows.columns else rows.where(F.col("scope") == scope)
+        return rows if scope is None else rows.where(F.col("scope") == scope)
 
     def skill(self, name: str) -> DataFrame:
         return self.skills().where(F.col("title") == name).orderBy("path").limit(1)
@@ -88,9 +91,3 @@ class Engine:
         hashes = self.records().select("id", text.raw_hash(F.col("body")).alias("body_hash"))
         needed = state.needs_embedding(hashes, self.store.read("embed_state", STATE), self.signature)
         return needed.agg(F.count_if(~F.col("needed")).alias("embedded"), F.count_if("needed").alias("pending"))
-
-
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.orderBy("query_id", "final_rank")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every accented letter of the index's languages and its base letter.
-ACCENTED, PLAIN = "äçèéêíñóöüáàâîïôùûúìòëÿãõåýžšč", "aceeeinoouaaaiiouuuioeyaoayzsc"
+def _folds() -> tuple[str, str]:
+    """Small letters of the Latin blocks that decompose into one of a to z and marks, and those letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    kept = [(c, d[0]) for c, d in pairs if c == c.lower() and len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+ACCENTED, PLAIN = _folds()
 TOKEN = r"[\p{L}\p{N}]+"
 
 

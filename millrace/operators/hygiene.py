@@ -119,10 +119,11 @@ def drifted(manifest: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def deprecate_losers(records: DataFrame, won: DataFrame) -> DataFrame:
-    """records with losers of undisputed groups pointing to their winner; groups with a skill are left to review."""
-    losers = won.where("not is_winner").select("id", "winner_id")
+    """records with losers of undisputed groups pointing to their winner; groups that any skill is in are left to review."""
+    skilled = won.join(records.where("type = 'skill'").select("id"), "id", "left_semi").select("winner_id").distinct()
+    losers = won.where("not is_winner").join(skilled, "winner_id", "left_anti").select("id", "winner_id")
     out = records.join(losers, "id", "left")
-    apply = F.col("winner_id").isNotNull() & (F.col("type") != "skill") & F.col("deprecated_by").isNull()
+    apply = F.col("winner_id").isNotNull() & F.col("deprecated_by").isNull()
     return out.withColumn("deprecated_by", F.when(apply, F.col("winner_id").cast("string")).otherwise(F.col("deprecated_by").cast("string"))).drop("winner_id")
 
 
@@ -141,7 +142,7 @@ def bumps(log: DataFrame, records: DataFrame, now: Column, cursor: int = -1) ->
     age = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000.0
     fresh = F.when(age <= RECENT_DAYS, 1.0).otherwise(0.5)
     weight = F.when(F.col("kind") == "get", F.lit(GET_BUMP)).when((F.col("kind") == "search") & (F.col("rank") >= 1), F.lit(SEARCH_BUMP) / F.col("rank")).otherwise(0.0) * fresh
-    summed = log.where(F.col("id") > cursor).groupBy("memory_id").agg(F.sum(weight).alias("raw"), F.count_if(F.col("kind") == "get").alias("gets"), F.count_if(F.col("kind") == "search").alias("searches")).where("raw > 0")
+    summed = log.where(F.col("id") > cursor).groupBy("memory_id").agg(F.sum(weight).alias("raw"), F.count_if(F.col("kind") == "get").alias("gets"), F.count_if((F.col("kind") == "search") & (F.col("rank") >= 1)).alias("searches")).where("raw > 0")
     eligible = records.where(F.col("deprecated_by").isNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > now)))
     old = F.coalesce("importance", F.lit(NEUTRAL_IMPORTANCE))
     joined = summed.join(eligible, summed.memory_id == eligible.id).withColumn("old_importance", old)

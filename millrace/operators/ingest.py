@@ -203,24 +203,28 @@ def ingested(batch: DataFrame, records: DataFrame, source_map: DataFrame, now: C
     records and source_map after it, and the decisions made.
 
     The last row of each (source, ref) counts. Noise is dropped; of equal bodies
-    the first to arrive is kept, unless its own ref holds the body already; a
-    known ref keeps its id.
+    the first to arrive is kept, unless a ref holds the body already that does not
+    give it up in this batch. A known ref keeps its id, and its record its path; if
+    its new body is another record's, both stay as they are.
     """
+    if "scope" in records.columns and "scope" not in batch.columns:
+        batch = batch.withColumn("scope", F.lit(None).cast("string"))
     last = Window.partitionBy("source", "ref").orderBy(F.col("arrival_seq").desc())
     rows = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     rows = noise_decisions(rows, known_heads).withColumn("hash", text.normalized_hash(F.col("body")))
     kept = rows.where("action != 'drop'").join(source_map.select("source", "ref", F.col("id").alias("_id")), ["source", "ref"], "left")
     kept = kept.withColumn("id", F.coalesce("_id", text.uuid5(ID_NAMESPACE, F.concat_ws(":", "source", "ref"))))
-    owners = source_map.groupBy("hash").agg(F.min("id").alias("_owner"))
-    first = Window.partitionBy("hash").orderBy("arrival_seq", "id")
-    kept = kept.join(owners, "hash", "left").withColumn("_first", F.first("id").over(first))
-    kept = kept.withColumn("_owner", F.coalesce("_owner", "_first"))
+    now_held = source_map.join(kept.select("source", "ref", F.col("hash").alias("_new")), ["source", "ref"], "left").where("_new is null or _new = hash")
+    owners = now_held.groupBy("hash").agg(F.min("id").alias("_owner"))
+    first = kept.groupBy("hash").agg(F.min_by("id", F.struct("arrival_seq", "id")).alias("_first"))
+    kept = kept.join(first.join(owners, "hash", "left"), "hash").withColumn("_owner", F.coalesce("_owner", "_first"))
     own = kept.where("_owner = id").withColumn("importance", F.lit(None).cast("double"))
     fresh = with_header(own, records, now)
     nothing = F.lit(None).cast("string")
-    fresh = fresh.withColumn("path", vault_path(F.col("type"), F.col("id"), F.col("title"), F.col("source"), F.col("tags"), F.col("created"), nothing, nothing, nothing))
+    fresh = fresh.join(records.select("id", F.col("path").alias("_path")), "id", "left")
+    fresh = fresh.withColumn("path", F.coalesce("_path", vault_path(F.col("type"), F.col("id"), F.col("title"), F.col("source"), F.col("tags"), F.col("created"), nothing, nothing, nothing)))
     after = upserted(records, fresh.select(*records.columns))
-    attached = kept.where((F.col("_owner") == F.col("id")) | F.col("type").isin(*AUTHORED_TYPES))
+    attached = kept.where((F.col("_owner") == F.col("id")) | (F.col("_id").isNull() & F.col("type").isin(*AUTHORED_TYPES)))
     mapped = attached.select("source", "ref", F.col("_owner").alias("id"), "hash")
     return {"records": after, "source_map": source_map.join(mapped, ["source", "ref"], "left_anti").select(*mapped.columns).unionByName(mapped), "decisions": rows.select("source", "ref", "action", "kind")}
 

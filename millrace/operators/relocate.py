@@ -31,6 +31,8 @@ def _cut(df: DataFrame) -> DataFrame:
     """End the lineage of one round in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 

@@ -16,7 +16,11 @@ BLOCK = 1000
 
 
 def _nearest(queries: list[tuple[int, list[float]]], k: int):
-    """Each batch's k nearest chunks of each query; the final k are among them."""
+    """Each batch's k nearest chunks of each query; the final k are among them.
+
+    Distances to all queries come from one matrix product; those near the k-th
+    are computed anew from the differences, so that rounding decides nothing.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([q for q, _ in queries], dtype=np.int64)
@@ -24,16 +28,19 @@ def _nearest(queries: list[tuple[int, list[float]]], k: int):
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
-            vectors = np.array(batch.column(2).to_pylist(), dtype=np.float64)
+            flat = batch.column(2).flatten()
+            vectors = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            squares = (vectors**2).sum(axis=1)
+            rough = np.sqrt(np.maximum(squares + (wanted**2).sum(axis=1)[:, None] - 2 * wanted @ vectors.T, 0))
+            last = min(k, len(batch)) - 1
+            edges = np.partition(rough, last, axis=1)[:, last]
             chunk, memory = batch.column(0), batch.column(1)
             out_q, out_i, out_d = [], [], []
-            for q, v in zip(ids, wanted, strict=True):
-                distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
-                edge = np.partition(distance, min(k, len(distance)) - 1)[min(k, len(distance)) - 1]
-                near = np.flatnonzero(distance <= edge + 1e-6)  # ties are settled later, by id
+            for q, v, edge, far in zip(ids, wanted, edges, rough, strict=True):
+                near = np.flatnonzero(far <= edge + 1e-4)  # ties are settled later, by id
                 out_q.append(np.full(len(near), q))
                 out_i.append(near)
-                out_d.append(distance[near])
+                out_d.append(np.sqrt(((vectors[near] - v) ** 2).sum(axis=1)))
             at = pa.array(np.concatenate(out_i))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), chunk.take(at), memory.take(at), pa.array(np.concatenate(out_d))], ["query_id", "chunk_id", "id", "distance"])
 

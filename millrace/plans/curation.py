@@ -293,7 +293,7 @@ ORACLE = {
     "body_hash": f"{_R} SELECT id, {_HASH} AS hash, sha256(body) AS raw FROM records",
     "dedup_groups": f"{_R} SELECT {_HASH} AS hash, count(*) AS size FROM records WHERE deprecated_by IS NULL GROUP BY 1 HAVING count(*) > 1",
     "dedup_winners": f"{_R}, {b.EXPOSURES_SQL}, active AS (SELECT * FROM records WHERE deprecated_by IS NULL), {_WIN.format(key=_HASH, rows='active')} SELECT k AS hash, id, n = 1 AS is_winner, winner_id, coin_flip, size FROM ranked WHERE size > 1",
-    "dedup_apply": f"{_R}, {b.EXPOSURES_SQL}, active AS (SELECT * FROM records WHERE deprecated_by IS NULL), {_WIN.format(key=_HASH, rows='active')} SELECT r.id, CASE WHEN k.n > 1 AND r.type <> 'skill' THEN k.winner_id ELSE r.deprecated_by END AS deprecated_by FROM records r LEFT JOIN ranked k ON k.id = r.id",
+    "dedup_apply": f"{_R}, {b.EXPOSURES_SQL}, active AS (SELECT * FROM records WHERE deprecated_by IS NULL), {_WIN.format(key=_HASH, rows='active')} SELECT r.id, CASE WHEN k.n > 1 AND k.k NOT IN (SELECT ranked.k FROM ranked JOIN records USING (id) WHERE records.type = 'skill') THEN k.winner_id ELSE r.deprecated_by END AS deprecated_by FROM records r LEFT JOIN ranked k ON k.id = r.id",
     "dedup_ingest_first": f"{_R} SELECT {_HASH} AS hash, min(id) AS id, count(*) AS seen_count FROM records GROUP BY 1",
     "audit_classes": f"{_R}, {_AUDIT} SELECT class, group_key, size FROM audit",
     "audit_summary": f"{_R}, {_AUDIT} SELECT class, count(*) AS groups, sum(size)::BIGINT AS records FROM audit GROUP BY class",
@@ -307,7 +307,7 @@ SELECT gk AS group_key, w.winner_id, g.size, list_filter([CASE WHEN len(types) >
     "importance_seed": f"""{_R} SELECT id, round(least(1.0::DOUBLE, greatest(0.1::DOUBLE, {_SEED_CASE} + 0.3::DOUBLE * ((1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (epoch_us({_NOW}) - epoch_us(created))::DOUBLE / 86400000000.0::DOUBLE / 90.0::DOUBLE))) - 0.5::DOUBLE)
   - CASE WHEN length(body) < 100 THEN 0.1::DOUBLE ELSE 0 END)), 8) AS seed FROM records""",
     "importance_bumps": f"""{_R}, {b.EXPOSURES_SQL}, w AS (SELECT memory_id, sum(CASE WHEN kind = 'get' THEN 0.05::DOUBLE WHEN kind = 'search' AND rank >= 1 THEN 0.01::DOUBLE / rank ELSE 0 END * CASE WHEN (epoch_us({_NOW}) - epoch_us(ts))::DOUBLE / 86400000000.0 <= 30 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS raw,
-  count(*) FILTER (kind = 'get') AS gets, count(*) FILTER (kind = 'search') AS searches FROM log GROUP BY 1)
+  count(*) FILTER (kind = 'get') AS gets, count(*) FILTER (kind = 'search' AND rank >= 1) AS searches FROM log GROUP BY 1)
 SELECT id, gets, searches, round(coalesce(importance, 0.5::DOUBLE), 8) AS old_importance, round(least(1.0::DOUBLE, coalesce(importance, 0.5::DOUBLE) + least(0.1::DOUBLE, raw)), 8) AS new_importance
 FROM w JOIN records ON id = memory_id WHERE deprecated_by IS NULL AND (valid_to IS NULL OR valid_to > {_NOW}) AND raw > 0 AND least(1.0::DOUBLE, coalesce(importance, 0.5::DOUBLE) + least(0.1::DOUBLE, raw)) > coalesce(importance, 0.5::DOUBLE)""",
     "query_log_prune": f"WITH {b.EXPOSURES_SQL} SELECT id, memory_id, kind FROM log QUALIFY row_number() OVER (ORDER BY id DESC) <= floor((SELECT count(*) // 2 FROM events) * 0.9::DOUBLE)",

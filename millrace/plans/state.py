@@ -148,7 +148,7 @@ SELECT id, CASE id % 6 WHEN 0 THEN 'memories/' || (id + 1)::VARCHAR || '.md' WHE
     "daily_targets": f"""{_R} SELECT id, CASE WHEN id % 4 <> 3 THEN 'daily' || CASE WHEN id % 3 = 0 THEN '/ari' ELSE '' END || CASE WHEN id % 4 = 1 THEN '/rem/x' ELSE '' END || '/' || strftime(created, '%Y-%m-%d') || '.md' END AS target FROM records""",
     "needs_reembed": f"""{_R}, r AS (SELECT id, sha256(body) AS h FROM records), s AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'old' WHEN id % 11 = 0 THEN NULL ELSE h END AS sh, CASE WHEN id % 13 = 0 THEN 'v1' WHEN id % 3 = 0 THEN NULL ELSE 'v2' END AS sg FROM r WHERE id % 5 <> 0)
 SELECT r.id, sh IS NULL OR sh <> h OR coalesce(sg <> 'v2', false) AS needed FROM r LEFT JOIN s USING (id)""",
-    "missing_state": f"{_R} SELECT DISTINCT vec_id % 250 AS id FROM embeddings WHERE vec_id % 250 NOT IN (SELECT id FROM records WHERE id % 5 <> 0)",
+    "missing_state": f"{_R} SELECT DISTINCT vec_id // 4 AS id FROM embeddings WHERE vec_id // 4 NOT IN (SELECT id FROM records WHERE id % 5 <> 0)",
     "queue_stats": f"{_QUEUE} SELECT count(*) FILTER (NOT failed) AS pending, count(*) FILTER (failed) AS failed, count(*) AS total FROM queue",
     "queue_claim": f"""{_QUEUE}, t AS (SELECT id FROM queue WHERE NOT failed AND (claimed_at IS NULL OR claimed_at < {_NOW} - to_seconds(300)) ORDER BY enqueued_at, retries, id LIMIT 25)
 SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN {_NOW} ELSE claimed_at END AS claimed_at, CASE WHEN id IN (SELECT id FROM t) THEN 'w1' ELSE claimed_by END AS claimed_by FROM queue""",

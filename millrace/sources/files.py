@@ -9,7 +9,7 @@ from ..functions import text
 
 # Fixed values.
 SIZE_CAP = 50_000
-DEDICATED = ("MEMORY.md", "CLAUDE.md", "SKILL.md")
+DEDICATED = ("MEMORY.md", "CLAUDE.md", "HARD-RULES.md")
 NOISY_NAMES = (
     r"^.*_FULL_\d{4}-\d{2}-\d{2}\.md$",
     r"^.*_REFERENCE_\d{4}-\d{2}-\d{2}\.md$",

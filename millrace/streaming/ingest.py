@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import hygiene, ingest
 
 BATCH = "arrival_seq long, source string, ref string, type string, title string, body string, tags array<string>, created timestamp, updated timestamp"
-RECORDS = "id string, type string, title string, body string, tags array<string>, source string, created timestamp, updated timestamp, importance double, valid_from timestamp, valid_to timestamp, deprecated_by string, deleted_at timestamp, path string"
+RECORDS = "id string, type string, title string, body string, tags array<string>, source string, created timestamp, updated timestamp, importance double, valid_from timestamp, valid_to timestamp, deprecated_by string, deleted_at timestamp, path string, scope string"
 MAPPING = "source string, ref string, id string, hash string"
 
 
@@ -40,9 +40,18 @@ class Store:
         path = self._pointer()[1].get(name)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
-    def write(self, version: int, **tables: DataFrame) -> None:
-        """All given tables become visible at once. Folders are never reused, so readers of the last write go on."""
+    def seen(self, stream: str) -> int:
+        """The last batch of a stream that a write has taken in; -1 if none."""
+        return int(self._pointer()[1].get(f"#{stream}", -1))
+
+    def write(self, version: int, stream: str | None = None, **tables: DataFrame) -> None:
+        """All given tables become visible at once, with the number of the stream's batch they come from.
+
+        Folders are never reused, so readers of the last write go on. A store has one writer at a time.
+        """
         number, paths = self._pointer()
+        if stream is not None:
+            paths = paths | {f"#{stream}": str(version)}
         fresh = {n: f"{self.root}/{n}/v{version}-{number + 1}" for n in tables}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(fresh[name])
@@ -54,11 +63,13 @@ def ingest_stream(spark: SparkSession, incoming: str, store: Store, checkpoint:
     """Ingest all rows waiting under `incoming`, then stop; run again for more."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
+        if epoch <= store.seen(checkpoint):
+            return  # written before a failure, and played again
         records, mapping = store.read("records", RECORDS), store.read("source_map", MAPPING)
         out = ingest.ingested(batch, records, mapping, now(), known_heads)
-        store.write(epoch, records=out["records"].select(*records.columns), source_map=out["source_map"].select(*mapping.columns))
+        store.write(epoch, checkpoint, records=out["records"].select(*records.columns), source_map=out["source_map"].select(*mapping.columns))
 
-    stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 100).parquet(incoming)
+    stream = spark.readStream.schema(f"{BATCH}, scope string").option("maxFilesPerTrigger", 100).parquet(incoming)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -68,12 +79,14 @@ def exposure_counts(log: DataFrame, window: str = "1 day", late: str = "2 days")
 
 
 def bump_stream(log: DataFrame, store: Store, checkpoint: str, now: Callable[[], Column]) -> StreamingQuery:
-    """Importance bumps from an exposure log stream; the checkpoint is the cursor, so no row counts twice."""
+    """Importance bumps from an exposure log stream; the checkpoint is the cursor, and a batch that the store has taken in is not counted again."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
+        if epoch <= store.seen(checkpoint):
+            return
         records = store.read("records", RECORDS)
         raised = hygiene.bumps(batch, records, now()).select("id", "new_importance")
         out = records.join(raised, "id", "left").withColumn("importance", F.coalesce("new_importance", "importance"))
-        store.write(1_000_000 + epoch, records=out.select(*records.columns))
+        store.write(epoch, checkpoint, records=out.select(*records.columns))
 
     return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

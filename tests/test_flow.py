@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.operators import hygiene, ingest, models, state
 from millrace.sources import files, transcripts
 from millrace.streaming import ingest as streaming
+from millrace.streaming.ingest import BATCH, MAPPING, RECORDS, Store
+
 
 def now():
     return F.lit("2024-02-15 00:00:00").cast("timestamp")
@@ -172,3 +174,38 @@ def test_engine_round_trip(spark, tmp_path):
     assert [r["id"] for r in found] == [hits[0]["id"]] * 2
     engine.ingest(spark.createDataFrame(_batch([(20, "r4", "memory", "now it is otherwise")]), streaming.BATCH), 2, now())
     assert engine.chunks().where("text like '%number4%'").count() == 0 and engine.health().first()["pending"] == 0
+
+
+def test_ingest_into_a_store_that_has_records(spark):
+    """A new title moves no record, a body given up in the batch is free, and a known ref is not given another's record."""
+    now = F.lit("2024-02-15").cast("timestamp")
+
+    def batch(*rows):
+        whole = [(i, "s", ref, "memory", title, body, [], None, None) for i, (ref, title, body) in enumerate(rows)]
+        return spark.createDataFrame(whole, BATCH).withColumn("created", now)
+
+    before = ingest.ingested(batch(("a", "t", "one " * 40), ("c", "t", "three " * 40)), spark.createDataFrame([], RECORDS), spark.createDataFrame([], MAPPING), now)
+    ids = {r["ref"]: r["id"] for r in before["source_map"].collect()}
+    records = before["records"].withColumn("path", F.concat(F.lit("kept/"), "id"))
+    after = ingest.ingested(batch(("a", "new title", "two " * 40), ("b", "t", "one " * 40), ("c", "t", "two " * 40)), records, before["source_map"], now)
+    rows = {r["id"]: r for r in after["records"].collect()}
+    mapped = {r["ref"]: r["id"] for r in after["source_map"].collect()}
+    assert len(rows) == 3 and mapped["a"] == ids["a"] and mapped["c"] == ids["c"] and mapped["b"] not in ids.values()
+    assert rows[ids["a"]]["path"] == "kept/" + ids["a"] and rows[ids["a"]]["body"].startswith("two")
+    assert rows[mapped["b"]]["body"].startswith("one") and rows[ids["c"]]["body"].startswith("three")
+
+
+def test_groups_with_a_skill_are_left(spark):
+    rows = spark.createDataFrame([(1, "memory", "x", None), (2, "memory", "x", None), (3, "skill", "x", None), (4, "memory", "y", None), (5, "memory", "y", None)], "id long, type string, hash string, deprecated_by long")
+    won = spark.createDataFrame([("x", 1, True, 1), ("x", 2, False, 1), ("x", 3, False, 1), ("y", 4, True, 4), ("y", 5, False, 4)], "hash string, id long, is_winner boolean, winner_id long")
+    out = {r["id"]: r["deprecated_by"] for r in hygiene.deprecate_losers(rows, won).collect()}
+    assert out == {1: None, 2: None, 3: None, 4: None, 5: "4"}
+
+
+def test_a_batch_played_again_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("1", 0.5)], "id string, importance double")
+    store.write(0, "stream", records=rows)
+    assert store.seen("stream") == 0 and store.seen("other") == -1
+    store.write(7, records=rows)
+    assert store.seen("stream") == 0 and store.read("records", "id string, importance double").count() == 1
