@@ -16,6 +16,7 @@ GET_BUMP, SEARCH_BUMP, RECENT_DAYS, MOST_PER_RUN = 0.05, 0.01, 30, 0.1
 NOT_PROJECTS = ("instructions", "core", "shared")
 NOT_PROJECT_PREFIXES = ("agent:", "topic:", "distillation:", "project:")
 MIN_TURNS, MIN_WORDS, SESSION_DAYS, MIN_CLUSTER, MIN_SESSIONS = 10, 100, 30, 5, 2
+MOST_PER_CYCLE = 50
 
 
 # Duplicates
@@ -222,6 +223,36 @@ def linked_sessions(records: DataFrame) -> DataFrame:
     return records.where("type = 'distillation'").select(F.explode("links").alias("link")).select(inner.alias("id")).where("id != ''").distinct()
 
 
+def planned(candidates: DataFrame, most: int | None = MOST_PER_CYCLE) -> DataFrame:
+    """The first candidates by path that one cycle takes; the rest wait for the next. No cap if it is none or negative."""
+    return candidates if most is None or most < 0 else candidates.orderBy("path", "id").limit(most)
+
+
+def verification(records: DataFrame, status: DataFrame, decisions: DataFrame, paths: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row of totals, each part a one-row aggregate.
+
+    records has links; status is what `session_status` found, decisions what
+    `noise_decisions` did; paths (rel) are all files below the root, whether
+    records or not, skipped (ref) those that could not be read as records.
+    """
+    n = F.count(F.lit(1))
+    whole = records.agg(n.alias("records"), F.count("deprecated_by").alias("deprecated"), F.count("valid_to").alias("expiring"), F.count("deleted_at").alias("deleted"))
+    skilled = F.coalesce(F.max(F.col("type") == "skill"), F.lit(False)).alias("skilled")
+    groups = hashed(records.where("deprecated_by is null")).groupBy("hash").agg(n.alias("size"), skilled).where("size > 1")
+    losers = F.when(~F.col("skilled"), F.col("size") - 1)
+    parts = [
+        groups.agg(n.alias("collision_groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("collision_records"), F.count_if("skilled").alias("skill_groups"), F.coalesce(F.sum(losers), F.lit(0)).alias("to_deprecate")),
+        decisions.agg(F.count_if(F.col("action") == "drop").alias("noise_drop"), F.count_if(F.col("action") == "tag_transient").alias("noise_transient")),
+        linked_sessions(records).agg(n.alias("covered_sessions")),
+        status.agg(F.count_if(F.col("status") == "candidate").alias("eligible_sessions")),
+        paths.agg(F.count_if(F.col("rel").rlike(r"^skills/_review/[^/]+\.md$")).alias("open_tickets")),
+        skipped.select("ref").distinct().agg(n.alias("parse_skips")),
+    ]
+    for part in parts:
+        whole = whole.crossJoin(part)
+    return whole
+
+
 def project_tag(tags: Column) -> Column:
     """A session's first tag that is neither a literal nor a prefix of another kind."""
 

@@ -89,12 +89,15 @@ def type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_report(spark: SparkSession, d: str) -> DataFrame:
-    """One row of totals; each part is a one-row aggregate."""
-    rows = b.records(spark, d)
-    groups = hygiene.collision_groups(rows).agg(F.count(F.lit(1)).alias("collision_groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("collision_records"))
-    noise = noise_decisions(spark, d).agg(F.count_if(F.col("action") == "drop").alias("noise_drop"), F.count_if(F.col("action") == "tag_transient").alias("noise_transient"))
-    whole = rows.agg(F.count(F.lit(1)).alias("records"), F.count("deprecated_by").alias("deprecated"), F.count("deleted_at").alias("deleted"))
-    return whole.crossJoin(groups).crossJoin(noise)
+    """Totals of the records, whose distillations link to sessions of the conversations; some files are tickets, some broken."""
+    i = F.col("id")
+    link = F.concat(F.lit("memory://sessions/"), (i % 40).cast("string"), F.lit(".md"))
+    rows = b.records(spark, d).withColumn("links", F.when(F.col("type") == "distillation", F.array(link)).otherwise(F.array().cast("array<string>")))
+    talks = b.sessions(spark, d).withColumn("id", i.cast("string"))
+    status = hygiene.session_status(talks, hygiene.linked_sessions(rows), talks.where("false"), b.now(), None, 4, 100)
+    ticket = F.when(i % 43 == 0, F.concat(F.lit("skills/_review/"), i.cast("string"), F.lit(".md"))).when(i % 43 == 1, F.concat(F.lit("skills/_review/done/"), i.cast("string"), F.lit(".md")))
+    paths = rows.select(F.coalesce(ticket, F.col("path")).alias("rel"))
+    return hygiene.verification(rows, status, noise_decisions(spark, d), paths, invalid_records(spark, d).select(i.alias("ref")))
 
 
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +137,12 @@ def session_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).where("status = 'candidate'").select("id", text.turn_count(F.col("body")).alias("turns"), text.word_count(F.col("body")).alias("words"))
 
 
+def distill_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions that one cycle distils."""
+    found = _status(spark, d).where("status = 'candidate'")
+    return hygiene.planned(found.select("id", F.concat(F.lit("sessions/"), F.col("id").cast("string"), F.lit(".md")).alias("path")))
+
+
 def session_scan_stats(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("sessions"))
 
@@ -258,7 +267,7 @@ QUERIES = {
     for f in (
         body_hash, dedup_groups, dedup_winners, dedup_ingest_first, dedup_apply, audit_classes, audit_summary, phase1_select, noise_decisions, noise_summary, noise_expiry,
         importance_seed, importance_bumps, query_log_prune, retrieval_counts, type_counts, verify_report, topic_clusters, daily_week_clusters, undistilled_clusters,
-        session_transcripts, session_candidates, session_scan_stats, session_distillations, project_candidates, wikilinks, image_refs, chunks, snippets, prefix_truncate,
+        session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_candidates, wikilinks, image_refs, chunks, snippets, prefix_truncate,
         titles, parse_scores, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
     )
 }
@@ -284,7 +293,10 @@ audit AS (SELECT class, hash AS group_key, size FROM routed UNION ALL SELECT 'D'
   UNION ALL SELECT 'B', ref || '|' || hash, count(*) FROM shared GROUP BY ref, hash HAVING count(*) > 1
   UNION ALL SELECT 'C', ref, count(*) FROM shared GROUP BY ref HAVING count(*) > 1 AND min(hash) <> max(hash)
   UNION ALL SELECT 'E', nt, count(*) FROM shared WHERE nt IS NOT NULL GROUP BY nt HAVING count(*) > 1 AND min(hash) <> max(hash) AND bool_or(type <> 'daily'))"""
-_STATUS = f"""WITH {b.SESSIONS_SQL}, counted AS (SELECT *, len(regexp_extract_all(body, '(?m)^[^\\S\\n]*\\*\\*(?:User|Assistant):\\*\\*')) AS turns, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS words FROM sessions),
+_COUNTED = f"""{b.SESSIONS_SQL}, counted AS (SELECT *, len(regexp_extract_all(body, '(?m)^[^\\S\\n]*\\*\\*(?:User|Assistant):\\*\\*')) AS turns, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS words FROM sessions)"""
+_INVALID = """x AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'odd' ELSE type END AS type, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE ELSE importance END AS importance, title FROM records),
+p AS (SELECT id, array_to_string(list_filter([CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN importance > 1 THEN 'importance' END, CASE WHEN type = 'skill' AND coalesce(title, '') = '' THEN 'title' END, CASE WHEN type = 'skill' AND id % 3 <> 0 THEN 'scope' END, CASE WHEN type = 'skill' AND id % 2 <> 0 THEN 'verification' END], lambda v: v IS NOT NULL), ',') AS problems FROM x)"""
+_STATUS = f"""WITH {_COUNTED},
 status AS (SELECT *, CASE WHEN updated < TIMESTAMP '{b.NOW_TEXT}' - to_days(30) THEN 'old' WHEN id % 7 = 0 THEN 'covered' WHEN id % 11 = 0 THEN 'failed' WHEN turns < 4 OR words < 100 THEN 'short' ELSE 'candidate' END AS status FROM counted)"""
 _SEED_CASE = "CASE type WHEN 'skill' THEN 0.7::DOUBLE WHEN 'decision' THEN 0.6::DOUBLE WHEN 'distillation' THEN 0.7::DOUBLE WHEN 'daily' THEN 0.4::DOUBLE WHEN 'session' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
 _NOW = f"TIMESTAMP '{b.NOW_TEXT}'"
@@ -313,9 +325,14 @@ FROM w JOIN records ON id = memory_id WHERE deprecated_by IS NULL AND (valid_to
     "query_log_prune": f"WITH {b.EXPOSURES_SQL} SELECT id, memory_id, kind FROM log QUALIFY row_number() OVER (ORDER BY id DESC) <= floor((SELECT count(*) // 2 FROM events) * 0.9::DOUBLE)",
     "retrieval_counts": f"WITH {b.EXPOSURES_SQL} SELECT memory_id AS id, count(*) AS retrievals FROM log GROUP BY 1",
     "type_counts": f"{_R} SELECT type, count(*) AS total, count(deprecated_by) AS deprecated, count(valid_to) AS expired FROM records GROUP BY type",
-    "verify_report": f"""{_R}, {_NOISE}, g AS (SELECT count(*) AS n FROM records WHERE deprecated_by IS NULL GROUP BY {_HASH} HAVING count(*) > 1)
-SELECT (SELECT count(*) FROM records) AS records, (SELECT count(deprecated_by) FROM records) AS deprecated, (SELECT count(deleted_at) FROM records) AS deleted, (SELECT count(*) FROM g) AS collision_groups,
-  coalesce((SELECT sum(n) FROM g), 0)::BIGINT AS collision_records, (SELECT count(*) FROM noise WHERE action = 'drop') AS noise_drop, (SELECT count(*) FROM noise WHERE action = 'tag_transient') AS noise_transient""",
+    "verify_report": f"""{_R}, {_NOISE}, {_COUNTED}, {_INVALID}, g AS (SELECT count(*) AS n, bool_or(type = 'skill') AS skilled FROM records WHERE deprecated_by IS NULL GROUP BY {_HASH} HAVING count(*) > 1),
+done AS (SELECT DISTINCT (id % 40)::VARCHAR AS id FROM records WHERE type = 'distillation')
+SELECT (SELECT count(*) FROM records) AS records, (SELECT count(deprecated_by) FROM records) AS deprecated, (SELECT count(valid_to) FROM records) AS expiring, (SELECT count(deleted_at) FROM records) AS deleted, (SELECT count(*) FROM g) AS collision_groups,
+  coalesce((SELECT sum(n) FROM g), 0)::BIGINT AS collision_records, (SELECT count(*) FROM g WHERE skilled) AS skill_groups, coalesce((SELECT sum(n - 1) FROM g WHERE NOT skilled), 0)::BIGINT AS to_deprecate,
+  (SELECT count(*) FROM noise WHERE action = 'drop') AS noise_drop, (SELECT count(*) FROM noise WHERE action = 'tag_transient') AS noise_transient, (SELECT count(*) FROM done) AS covered_sessions,
+  (SELECT count(*) FROM counted WHERE turns >= 4 AND words >= 100 AND id::VARCHAR NOT IN (SELECT id FROM done)) AS eligible_sessions,
+  (SELECT count(*) FROM records WHERE id % 43 = 0) AS open_tickets, (SELECT count(*) FROM p WHERE problems <> '') AS parse_skips""",
+    "distill_plan": f"{_STATUS} SELECT id, 'sessions/' || id::VARCHAR || '.md' AS path FROM status WHERE status = 'candidate' ORDER BY path, id LIMIT 50",
     "topic_clusters": f"{_R}, e AS (SELECT id, 'topic:' || unnest(list_distinct(tags)) AS cluster_id FROM records WHERE type <> 'distillation') SELECT cluster_id, id FROM e WHERE cluster_id IN (SELECT cluster_id FROM e GROUP BY 1 HAVING count(*) >= 5)",
     "daily_week_clusters": f"""{_R}, e AS (SELECT id, CASE WHEN id % 3 = 0 THEN (id % 2)::VARCHAR ELSE '(no-agent)' END || '/' || isoyear(created)::VARCHAR || '-W' || lpad(weekofyear(created)::VARCHAR, 2, '0') AS cluster_id FROM records WHERE type = 'daily')
 SELECT cluster_id, id FROM e WHERE cluster_id IN (SELECT cluster_id FROM e GROUP BY 1 HAVING count(*) >= 2)""",
@@ -342,9 +359,7 @@ SELECT id AS key, CASE WHEN id % 4 = 0 THEN '00000000-0000-4000-8000-00000000000
   CASE WHEN t IN ('note', '') THEN 'memory' WHEN t = 'skill' AND (coalesce(title, '') = '' OR id % 3 <> 0) THEN 'memory' ELSE t END AS type,
   CASE WHEN id % 6 = 0 THEN {_NOW} ELSE created END AS created, CASE WHEN id % 7 = 0 THEN (CASE WHEN id % 6 = 0 THEN {_NOW} ELSE created END) ELSE updated END AS updated,
   CASE WHEN id % 2 = 0 THEN 'agent' ELSE source END AS source, array_to_string(CASE WHEN t = 'note' THEN list_append(tags, 'note') ELSE tags END, ',') AS tags FROM raw""",
-    "invalid_records": f"""{_R}, x AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'odd' ELSE type END AS type, CASE WHEN id % 5 = 0 THEN 1.5::DOUBLE ELSE importance END AS importance, title FROM records),
-p AS (SELECT id, array_to_string(list_filter([CASE WHEN type = 'odd' THEN 'type' END, CASE WHEN importance > 1 THEN 'importance' END, CASE WHEN type = 'skill' AND coalesce(title, '') = '' THEN 'title' END, CASE WHEN type = 'skill' AND id % 3 <> 0 THEN 'scope' END, CASE WHEN type = 'skill' AND id % 2 <> 0 THEN 'verification' END], lambda v: v IS NOT NULL), ',') AS problems FROM x)
-SELECT * FROM p WHERE problems <> ''""",
+    "invalid_records": f"{_R}, {_INVALID} SELECT * FROM p WHERE problems <> ''",
     "drift_check": f"""{_R} SELECT CASE WHEN id % 50 = 0 THEN -id - 1 ELSE id END AS id, CASE WHEN id % 50 = 0 THEN 'missing' ELSE
   array_to_string(list_filter([CASE WHEN id % 7 = 0 THEN 'body changed' END, CASE WHEN id % 11 = 0 THEN 'type changed' END, CASE WHEN deprecated_by IS NOT NULL THEN 'deprecated' END], lambda x: x IS NOT NULL), ',') END AS mismatches FROM records""",
     "distill_retries": "SELECT user_id AS id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3 AND max(ts) > TIMESTAMP '2024-01-29 12:00:00'",

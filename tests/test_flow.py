@@ -202,6 +202,27 @@ def test_groups_with_a_skill_are_left(spark):
     assert out == {1: None, 2: None, 3: None, 4: None, 5: "4"}
 
 
+def test_plans_are_capped_by_path(spark):
+    rows = spark.createDataFrame([("b", "p/2"), ("a", "p/2"), ("c", "p/1"), ("d", "p/3")], "id string, path string")
+    assert [r["id"] for r in hygiene.planned(rows, 2).collect()] == ["c", "a"]
+    assert hygiene.planned(rows, None).count() == hygiene.planned(rows, -1).count() == 4 and hygiene.planned(rows, 0).count() == 0
+
+
+def test_verification_counts(spark):
+    columns = "id string, type string, body string, links array<string>, valid_to timestamp, deprecated_by string, deleted_at timestamp"
+    rows = [("1", "memory", "x", [], None, None, None), ("2", "memory", " X ", [], None, None, None), ("3", "skill", "y", [], None, None, None), ("4", "memory", "y", [], None, None, None), ("5", "memory", "x", [], None, "1", None)]
+    rows += [("6", "distillation", "z", ["memory://sessions/s1.md", "sessions/s1", "memories/m"], None, None, None)]
+    status = spark.createDataFrame([("s1", "covered"), ("s2", "candidate"), ("s3", "short")], "id string, status string")
+    noise = spark.createDataFrame([("drop",), ("keep",), ("tag_transient",), ("drop",)], "action string")
+    paths = spark.createDataFrame([("skills/_review/a.md",), ("skills/_review/done/b.md",), ("skills/a.md",), ("skills/_review/c.txt",)], "rel string")
+    broken = spark.createDataFrame([("bad.md",), ("bad.md",)], "ref string")
+    whole = hygiene.verification(spark.createDataFrame(rows, columns), status, noise, paths, broken).first().asDict()
+    expected = {"records": 6, "deprecated": 1, "expiring": 0, "deleted": 0, "collision_groups": 2, "collision_records": 4, "skill_groups": 1, "to_deprecate": 1}
+    assert whole == expected | {"noise_drop": 2, "noise_transient": 1, "covered_sessions": 1, "eligible_sessions": 1, "open_tickets": 1, "parse_skips": 1}
+    empty = hygiene.verification(*[t.where("false") for t in (spark.createDataFrame(rows, columns), status, noise, paths, broken)]).first()
+    assert set(empty) == {0}
+
+
 def test_a_batch_played_again_changes_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([("1", 0.5)], "id string, importance double")
