@@ -265,11 +265,18 @@ def project_tag(tags: Column) -> Column:
     return F.try_element_at(F.filter(tags, named), F.lit(1))
 
 
+def _tagged(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumn("tag", project_tag(F.col("tags"))).where("tag is not null")
+
+
 def project_candidates(sessions: DataFrame, least: int = MIN_SESSIONS) -> DataFrame:
-    """(tag, sessions, created, updated, ids): projects with enough sessions; ids by update."""
-    rows = sessions.withColumn("tag", project_tag(F.col("tags"))).where("tag is not null")
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("updated", "id"))), lambda x: x["id"])
-    return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("sessions"), F.min("created").alias("created"), F.max("updated").alias("updated"), ids.alias("ids")).where(F.col("sessions") >= least)
+    """(tag, sessions, created, updated): projects with enough sessions."""
+    return _tagged(sessions).groupBy("tag").agg(F.count(F.lit(1)).alias("sessions"), F.min("created").alias("created"), F.max("updated").alias("updated")).where(F.col("sessions") >= least)
+
+
+def project_members(sessions: DataFrame, least: int = MIN_SESSIONS) -> DataFrame:
+    """(tag, id, updated): the sessions of such projects, one row each, so that a large project is no one value; in order by update and id."""
+    return _tagged(sessions).join(project_candidates(sessions, least).select("tag"), "tag", "left_semi").select("tag", "id", "updated")
 
 
 def latest_distillations(records: DataFrame) -> DataFrame:

@@ -153,7 +153,11 @@ def session_distillations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return hygiene.project_candidates(b.sessions(spark, d)).select("tag", "sessions", "created", "updated", F.array_join("ids", ",").alias("ids"))
+    return hygiene.project_candidates(b.sessions(spark, d))
+
+
+def project_members(spark: SparkSession, d: str) -> DataFrame:
+    return hygiene.project_members(b.sessions(spark, d))
 
 
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +271,7 @@ QUERIES = {
     for f in (
         body_hash, dedup_groups, dedup_winners, dedup_ingest_first, dedup_apply, audit_classes, audit_summary, phase1_select, noise_decisions, noise_summary, noise_expiry,
         importance_seed, importance_bumps, query_log_prune, retrieval_counts, type_counts, verify_report, topic_clusters, daily_week_clusters, undistilled_clusters,
-        session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_candidates, wikilinks, image_refs, chunks, snippets, prefix_truncate,
+        session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_candidates, project_members, wikilinks, image_refs, chunks, snippets, prefix_truncate,
         titles, parse_scores, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
     )
 }
@@ -342,7 +346,8 @@ SELECT cluster_id, count(*) AS size FROM members m LEFT JOIN covered c USING (id
     "session_transcripts": f"WITH {b.SESSIONS_SQL} SELECT id AS conv_id, body, n_turns FROM sessions",
     "session_candidates": f"{_STATUS} SELECT id, turns, words FROM status WHERE status = 'candidate'",
     "session_scan_stats": f"{_STATUS} SELECT status, count(*) AS sessions FROM status GROUP BY status",
-    "project_candidates": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, count(*) AS sessions, min(created) AS created, max(updated) AS updated, string_agg(id::VARCHAR, ',' ORDER BY updated, id) AS ids FROM sessions GROUP BY 1 HAVING count(*) >= 2",
+    "project_candidates": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, count(*) AS sessions, min(created) AS created, max(updated) AS updated FROM sessions GROUP BY 1 HAVING count(*) >= 2",
+    "project_members": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, id, updated FROM sessions QUALIFY count(*) OVER (PARTITION BY tags[2]) >= 2",
     "wikilinks": f"{_R}, {b.LINKED_SQL} SELECT DISTINCT id, unnest(list_concat(['doc-0'], list_transform(regexp_extract_all(body, '\\[\\[([^\\]\\n]+)\\]\\]', 1), lambda x: trim(x)))) AS target FROM linked",
     "image_refs": f"{_R}, {b.LINKED_SQL} SELECT id, t.place::INT AS place, t.ref FROM linked, (VALUES (0, 'img/a.png'), (1, 'b.jpg')) t(place, ref) WHERE id % 12 = 0",
     "snippets": f"{_R}, {b.LINKED_SQL}, flat AS (SELECT id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS f FROM linked) SELECT id, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 240)) || '…' ELSE f END AS snippet FROM flat",

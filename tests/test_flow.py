@@ -153,8 +153,8 @@ def test_valve(spark, dead, blocked):
 def test_projects(spark):
     t = datetime.datetime(2024, 1, 1)
     rows = spark.createDataFrame([("1", ["agent:x", "app"], t, t), ("2", ["app"], t, t), ("3", ["core"], t, t), ("4", ["solo"], t, t)], "id string, tags array<string>, created timestamp, updated timestamp")
-    out = hygiene.project_candidates(rows).collect()
-    assert [(r["tag"], r["sessions"], r["ids"]) for r in out] == [("app", 2, ["1", "2"])]
+    assert [(r["tag"], r["sessions"]) for r in hygiene.project_candidates(rows).collect()] == [("app", 2)]
+    assert sorted((r["tag"], r["id"]) for r in hygiene.project_members(rows).collect()) == [("app", "1"), ("app", "2")]
 
 
 def test_engine_round_trip(spark, tmp_path):
