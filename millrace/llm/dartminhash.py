@@ -13,13 +13,12 @@ length (T. Christiani, "DartMinHash: Fast Sketching for Weighted Sets", 2020).
 Coordinates are joined in bands. Documents of one band value are candidates;
 each is compared only with leaders of its bucket (the least id and the one that
 shares most buckets), not with all. Links are verified by the exact similarity.
-Buckets whose documents are not yet in one class are gone over again: all pairs
-across classes in buckets of at most SMALL, other leaders in larger ones. What
-the leaders leave open is settled in cells: members of a mixed bucket meet in
-blocks, and pairs across classes are open unless their sizes rule the similarity
-out or their signatures agree so little that a linked pair would do so once in
-10^9 times. A cell verifies its open pairs and gives the links that join classes,
-so what leaves it is at most a link a member, whatever the number of pairs.
+What the leaders leave open is settled in cells: members of a bucket that holds
+several classes meet in blocks, and pairs across classes are open unless their
+sizes rule the similarity out or their signatures agree so little that a linked
+pair would do so once in 10^9 times. A cell verifies its open pairs and gives the
+links that join classes, so what leaves it is at most a link a member, whatever
+the number of pairs.
 """
 
 from __future__ import annotations
@@ -40,12 +39,10 @@ from .repeats import packed, texts_of, unpacked, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-#: Buckets up to this size are compared in full where classes meet.
-SMALL = 8
-#: Most times that larger buckets are gone over with other leaders, before their pairs are gone through.
-ROUNDS = 3
-#: Members of a larger bucket that meet as many others at once.
+#: Members of a bucket that meet as many others at once.
 BLOCK = 512
+#: Rows of small cells that are handed on together.
+GATHERED = 2_000
 #: Most sets of equal documents that are broadcast, the largest ones.
 HOT_SETS = 10_000
 #: Chance that the signatures of a linked pair agree less than is asked of a pair of a block.
@@ -215,18 +212,18 @@ class Cell:
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of one cell at a time, of batches sorted by cell."""
     held: list[pa.RecordBatch] = []
+    last: list[int] = []
     for batch in batches:
-        while batch.num_rows:
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            if held:
-                before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in range(3)]
-                if list(key[0]) != before:
-                    yield pa.Table.from_batches(held)
-                    held = []
-            other = np.flatnonzero(np.any(key != key[0], axis=1))
-            cut = int(other[0]) if len(other) else batch.num_rows
-            held.append(batch.slice(0, cut))
-            batch = batch.slice(cut)
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        cuts = (np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist()
+        for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if held and (begin or key[0].tolist() != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+        last = key[-1].tolist()
     if held:
         yield pa.Table.from_batches(held)
 
@@ -239,13 +236,21 @@ def open_members(members: DataFrame, least: float, agree: int, block: int | None
     """
 
     def rows(batches):
+        kept, n = [], 0
         for table_ in by_cell(batches):
             table_ = table_.combine_chunks()
             mine = np.zeros(table_.num_rows, dtype=bool)
             for i, to, _ in Cell(table_, least, agree).open_pairs():
                 mine[i] = True
                 mine[to] = True
-            yield from table_.filter(pa.array(mine)).to_batches()
+            if mine.any():
+                kept.append(table_.filter(pa.array(mine)))
+                n += int(mine.sum())
+            if n >= GATHERED:
+                yield from pa.concat_tables(kept).combine_chunks().to_batches()
+                kept, n = [], 0
+        if kept:
+            yield from pa.concat_tables(kept).combine_chunks().to_batches()
 
     block = block or BLOCK
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("long")
@@ -294,7 +299,8 @@ def cell_links(docs: DataFrame, members: DataFrame, least: float, agree: int) ->
                 if s >= least:
                     parent[max(a, b)] = min(a, b)
                     out.append((*sorted((int(cell.rep[i]), int(cell.rep[j]))), s))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
     texts = packed(docs, idset.bitmap(members.select(F.col("rep").alias("doc_id"))))
     held = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*[c.split()[0] for c in MEMBER.split(", ")], "packed")
@@ -338,7 +344,7 @@ def classes(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return labels
 
 
-def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: (doc_id, class_id), class_id the least id linked to it, directly or through others.
 
     Documents with equal weighted shingle sets (copies, too) stand for one
@@ -347,10 +353,10 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, bands: int = BANDS
     (a class with the null id has a null class_id). Empty tables give empty results.
     """
     docs = documents(df)
-    return given_ids(near_classes(docs, least, bands, rows, small, rounds), docs, "doc_id", "class_id")
+    return given_ids(near_classes(docs, least, bands, rows), docs, "doc_id", "class_id")
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """`near_duplicates` of what `documents` returns, under its inner ids."""
     sketched = written(sketches(docs, bands, rows), "sketches")
     sets = ["low", "high"]
@@ -363,34 +369,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     hub = F.max_by("rep", F.struct(F.col("shared"), -F.col("rep")))
     leaders = members.groupBy("bucket").agg(F.array_distinct(F.array(F.min("rep"), hub)).alias("leaders"))
     pairs = members.join(leaders, "bucket").select("rep", F.explode("leaders").alias("leader")).where("rep != leader")
-    tried = written(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
-    links = written(verified(docs, tried, least), "verified")
-    labels = classes(links)
-
-    def labelled() -> DataFrame:
-        return members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-
-    def mixed(rows: DataFrame, r: int) -> DataFrame:
-        return rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("leader")).where("low != high").select("bucket", "leader")
-
-    for r in range(max(1, rounds)):
-        now = labelled()
-        meeting = written(now.join(mixed(now, r), "bucket"), "open")
-        a, b = (meeting.where(F.col("n") <= small).alias(x) for x in "ab")
-        across = a.join(b, F.expr("a.bucket = b.bucket and a.rep < b.rep and a.label != b.label")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        led = meeting.where((F.col("n") > small) & (F.col("rep") != F.col("leader"))).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        fresh = written(across.union(led).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            break
-        more = written(verified(docs, fresh, least), "verified")
-        tried = tried.union(fresh)
-        if not more.limit(1).count():
-            break
-        labels = classes(more, labels)
-
-    # Small buckets have had all their pairs; in the others, cells settle those that are left.
-    now = labelled().where(F.col("n") > small)
-    meeting = now.join(mixed(now, 0).select("bucket"), "bucket").join(reps.select("rep", "weight", "marks", "bands"), "rep")
+    led = written(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
+    labels = classes(written(verified(docs, led, least), "verified"))
+
+    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    meeting = now.join(mixed, "bucket").join(reps.select("rep", "weight", "marks", "bands"), "rep")
     agree = agreeing(bands * rows, least)
     open_ = written(open_members(meeting, least, agree), "open")
     if open_.limit(1).count():
