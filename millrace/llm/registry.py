@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containment, dartminhash, merkle, mixing, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
+from . import containment, conversations, dartminhash, merkle, mixing, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
 from .common import Query
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": tokens.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_suffix_automata_dedup": suffix_automata.op10_suffix_automata_dedup,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_merkle_fingerprints": merkle.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_suffix_automata_dedup": suffix_automata.OP10_SQL,
+        "op11_conversation_repair": conversations.OP11_SQL,
     }
