@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containment, conversations, dartminhash, merkle, mixing, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
+from . import containment, conversations, dartminhash, merkle, mixing, negatives, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
 from .common import Query
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_suffix_automata_dedup": suffix_automata.op10_suffix_automata_dedup,
         "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.OP7_SQL,
         "op10_suffix_automata_dedup": suffix_automata.OP10_SQL,
         "op11_conversation_repair": conversations.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
     }
