@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containment, conversations, dartminhash, merkle, mixing, negatives, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
+from . import containment, conversations, dartminhash, merkle, mixing, negatives, ngrams, quality, secrets, suffix_array, suffix_automata, tokens, toxicity
 from .common import Query
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op10_suffix_automata_dedup": suffix_automata.op10_suffix_automata_dedup,
         "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_lm_scores": ngrams.op13_lm_scores,
     }
 
 
