@@ -82,10 +82,10 @@ def stem(word: str) -> str:
     return word
 
 
-def stems(words: Column) -> Column:
-    """Stems of an array of words."""
+def stemmed(words: Column) -> Column:
+    """Stems of a column of words."""
 
     def each(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+        return batch.map(lambda w: None if w is None else stem(w))
 
-    return F.pandas_udf(each, "array<string>")(words)
+    return F.pandas_udf(each, "string")(words)

@@ -1,4 +1,4 @@
-"""Keyword search: an inverted index as DataFrames, and BM25 over many queries at once."""
+"""Keyword search: an inverted index as DataFrames, phrases and operators, and BM25 over many queries at once."""
 
 from __future__ import annotations
 
@@ -12,56 +12,121 @@ from ..functions import text
 # Fixed values of the scoring function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
+#: What tokens are turned into, row by row; None: nothing.
+Stem = Callable[[Column], Column] | None
 
-def indexed_text() -> Column:
-    return F.concat_ws(" ", "title", "body", F.array_join("tags", " "))
 
+def words() -> Column:
+    """A record's tokens with a null between title, body and tags, which no phrase can cross."""
+    gap = F.array(F.lit(None).cast("string"))
+    parts = [text.tokens(F.coalesce(c, F.lit(""))) for c in (F.col("title"), F.col("body"), F.array_join("tags", " "))]
+    return F.concat(parts[0], gap, parts[1], gap, parts[2])
 
-def postings(records: DataFrame, tokenize: Callable[[Column], Column] = text.tokens, terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) of all records, or of some terms only.
+
+def length(column: str = "words") -> Column:
+    """Tokens of `words`."""
+    return F.size(column) - 2
+
+
+def postings(records: DataFrame, terms: DataFrame | None = None, stem: Stem = None) -> DataFrame:
+    """(id, term, tf, dl, positions) of all records, or of some terms only.
 
     dl counts all of a record's tokens. With `terms` (one column, term) the
     tokens are reduced before they are grouped, so only what a search can use
     is shuffled.
     """
-    words = records.select("id", tokenize(indexed_text()).alias("words"))
-    each = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    rows = records.select("id", words().alias("words"))
+    each = rows.select("id", length().alias("dl"), F.posexplode("words").alias("place", "term")).where("term is not null")
+    if stem is not None:
+        # Once for each token of a record, not for each place.
+        held = each.groupBy("id", "term").agg(F.first("dl").alias("dl"), F.collect_list("place").alias("places"))
+        each = held.select("id", "dl", "places", stem(F.col("term")).alias("term"))
+    else:
+        each = each.select("id", "dl", F.array("place").alias("places"), "term")
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    grouped = each.groupBy("id", "term").agg(F.flatten(F.collect_list("places")).alias("positions"), F.first("dl").alias("dl"))
+    return grouped.select("id", "term", F.size("positions").cast("long").alias("tf"), "dl", "positions")
 
 
-def collection(records: DataFrame, tokenize: Callable[[Column], Column] = text.tokens) -> DataFrame:
+def collection(records: DataFrame) -> DataFrame:
     """One row: n records and their average length; over the whole index, whatever is visible."""
-    return records.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(indexed_text()))).alias("avgdl"))
+    return records.select(words().alias("words")).agg(F.count(F.lit(1)).alias("n"), F.avg(length()).alias("avgdl"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def query_terms(queries: DataFrame, tokenize: Callable[[Column], Column] = text.tokens) -> DataFrame:
-    """(query_id, term, times, terms): tokens of each query; a repeated token counts again."""
-    words = tokenize(text.sanitized(F.col("query")))
-    rows = queries.select("query_id", F.explode(words).alias("term"))
-    counted = rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    return counted.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+def operands(query: Column) -> Column:
+    """A query cut at its upper-case OR, then AND, then NOT: three levels of arrays, null if an operand is missing.
+
+    What is left between operators are words that all must occur, which binds
+    tightest; NOT binds tighter than AND, and AND than OR, so nested splits say it all.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(text.sanitized(query), r"(?U)\s+", "  "), F.lit(" "))
+    cut = lambda c, word: F.split(c, f" {word} ")
+    nested = F.transform(cut(spaced, "OR"), lambda o: F.transform(cut(o, "AND"), lambda a: F.transform(cut(a, "NOT"), F.trim)))
+    missing = F.exists(nested, lambda o: F.exists(o, lambda a: F.exists(a, lambda n: n == "")))
+    return F.when(~missing, nested)
 
 
-def bm25(posted: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score) of records that have every term of a query; lower is better.
+def plan(queries: DataFrame, stem: Stem = None) -> DataFrame:
+    """(query_id, part, every, other, needs, phrase, terms, times, phrases): what queries ask for, a row for each phrase.
 
-    `posted` may be cut down to the queries' terms; document frequencies are
-    those of the whole index all the same, as all records' postings are there.
+    A query is met if one of its parts is: all of the part's `needs` operands with
+    other = 0 and none with a higher one. An operand is met if all its phrases
+    occur; a word of several tokens (`foo_bar`) is a phrase of consecutive ones.
+    A repeated phrase counts again. Queries with a syntax error have no rows.
     """
-    wanted = posted.join(terms, "term")
-    df = document_frequencies(posted)
-    scored = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    rows = queries.select("query_id", operands(F.col("query")).alias("q")).where("q is not null")
+    rows = rows.select("query_id", F.posexplode("q").alias("part", "o"))
+    rows = rows.select("query_id", "part", F.size("o").alias("needs"), F.posexplode("o").alias("every", "a"))
+    rows = rows.select("query_id", "part", "needs", "every", F.posexplode("a").alias("other", "n"))
+    spoken = F.filter(F.transform(F.split("n", " +"), text.tokens), lambda w: F.size(w) > 0)
+    rows = rows.select("query_id", "part", "needs", "every", "other", F.posexplode(spoken).alias("number", "terms"))
+    key = ["query_id", "part", "needs", "every", "other"]
+    if stem is not None:
+        each = rows.select(*key, "number", F.posexplode("terms").alias("k", "term")).withColumn("term", stem(F.col("term")))
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"])
+        rows = each.groupBy(*key, "number").agg(ordered.alias("terms"))
+    counted = rows.groupBy(*key, "terms").agg(F.count(F.lit(1)).alias("times"))
+    phrases = F.count(F.lit(1)).over(Window.partitionBy("query_id", "part", "every", "other"))
+    return counted.withColumn("phrase", F.array_join("terms", " ")).withColumn("phrases", phrases)
+
+
+def asked_terms(asked: DataFrame) -> DataFrame:
+    """The distinct terms of a plan."""
+    return asked.select(F.explode("terms").alias("term")).distinct()
+
+
+def occurrences(posted: DataFrame, asked: DataFrame) -> DataFrame:
+    """(phrase, id, tf, dl): records with each phrase of a plan. posted may be cut down to its terms."""
+    phrases = asked.select("phrase", "terms").distinct()
+    single = phrases.where(F.size("terms") == 1).select("phrase", F.col("terms")[0].alias("term"))
+    found = posted.join(single, "term").select("phrase", "id", "tf", "dl")
+    several = phrases.where(F.size("terms") > 1).select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
+    starts = posted.join(several, "term").select("phrase", "id", "dl", "n", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+    whole = starts.groupBy("phrase", "id", "start").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("dl").alias("dl")).where("met = n")
+    return found.unionByName(whole.groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+
+
+def bm25(found: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, score) of records that meet a query; lower is better.
+
+    found: `occurrences` of all phrases in the whole index, so their document
+    frequencies are the index's. The phrases of met parts count, but for excluded ones.
+    """
+    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    scored = found.join(df, "phrase").join(asked.drop("terms"), "phrase").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     share = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * ((1.0 - B) + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.groupBy("query_id", "id").agg(F.sum(-idf * share * F.col("times")).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("terms").alias("terms"))
-    return hits.where("matched = terms").select("query_id", "id", "score")
+    operand = ["query_id", "part", "every", "other", "id"]
+    met = scored.groupBy(*operand).agg(F.sum(-idf * share * F.col("times")).alias("score"), (F.count(F.lit(1)) == F.first("phrases")).alias("met"), F.first("needs").alias("needs")).where("met")
+    wanted = F.col("other") == 0
+    parts = met.groupBy("query_id", "part", "id").agg(F.sum(F.when(wanted, F.col("score"))).alias("score"), F.count_if(wanted).alias("have"), F.count_if(~wanted).alias("excluded"), F.first("needs").alias("needs"))
+    return parts.where("have = needs and excluded = 0").groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
 def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -70,10 +135,18 @@ def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def search(records: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...] = (), tokenize: Callable[[Column], Column] = text.tokens) -> DataFrame:
-    """(query_id, id, score, rank): BM25 top k of each query. Statistics are the whole index's, `types` filters after."""
-    terms = query_terms(queries, tokenize)
-    hits = bm25(postings(records, tokenize, terms), collection(records, tokenize), terms)
+def best(hits: DataFrame, records: DataFrame, k: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, rank) of the k best hits, those of other types left out first."""
     if types:
         hits = hits.join(records.where(F.col("type").isin(*types)).select("id"), "id", "left_semi")
     return top(hits, k, F.round("score", 9).asc(), F.col("id").asc())
+
+
+def search(records: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...] = (), stem: Stem = None) -> DataFrame:
+    """(query_id, id, score, rank): BM25 top k of each query. Statistics are the whole index's, `types` filters after.
+
+    Indexes the records anew, for the queries' terms; see `index` for one that is kept.
+    """
+    asked = plan(queries, stem)
+    found = occurrences(postings(records, asked_terms(asked), stem), asked)
+    return best(bm25(found, collection(records), asked), records, k, types)

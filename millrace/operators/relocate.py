@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 PARKED = "_meta/superseded-daily/"
 
 
@@ -29,11 +30,7 @@ def daily_target(ref: Column, agent: Column, folders: Sequence[str] = ("memory",
 
 def _cut(df: DataFrame) -> DataFrame:
     """End the lineage of one round in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not context.master.startswith("local"):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.stem import STEP_2, STEP_3, STEP_4
 from ..functions.text import ACCENTED, PLAIN
 from ..model import TYPES
-from ..operators import lexical
+from ..operators import lexical, textindex
+from ..session import scratch
 
 #: The reference time of every query.
 NOW_TEXT = "2024-02-15 00:00:00"
@@ -108,10 +110,71 @@ best AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY
 queries AS (SELECT item_id AS query_id, string_agg(term, ' ' ORDER BY place) AS query FROM best GROUP BY item_id),
 qt AS (SELECT item_id AS query_id, term, 1 AS times, count(*) OVER (PARTITION BY item_id) AS terms FROM best)"""
 
-BM25_SQL = """bm AS (SELECT query_id, tf.id,
-    sum(-(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END)
+def bm25_sql(asked: str = "qt", tf: str = "tf", df: str = "df") -> str:
+    return f"""bm AS (SELECT query_id, t.id,
+    sum(-times * (CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END)
       * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS score, count(*) AS matched, any_value(terms) AS terms
-  FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id, st GROUP BY query_id, tf.id HAVING count(*) = any_value(terms))"""
+  FROM {asked} JOIN {tf} t USING (term) JOIN {df} USING (term) JOIN dl ON dl.id = t.id, st GROUP BY query_id, t.id HAVING count(*) = any_value(terms))"""
+
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The records in a stored index that went through changes: old bodies replaced, records added and deleted again."""
+    rows = records(spark, sf_dir)
+    index = textindex.TextIndex(spark, textindex.scratch_root(scratch(spark), "index"), id_type="bigint")
+    stale = F.col("id") % 5 == 0
+    index.upsert(rows.withColumn("body", F.when(stale, F.concat(F.lit("old words, outdated: "), F.substring("body", 1, 200))).otherwise(F.col("body"))))
+    index.upsert(rows.where(stale))
+    passing = rows.where("id % 11 = 3").withColumn("id", -F.col("id") - 1)
+    index.upsert(passing)
+    index.delete(passing.select("id"))
+    return index
+
+
+def _porter() -> list[str]:
+    """Steps of the Porter stemmer as expressions over `w`, in order."""
+    c, v = "[^aeiou]", "[aeiouy]"
+    cc, vv = f"{c}[^aeiouy]*", f"{v}[aeiou]*"
+    more = lambda x, n: f"regexp_matches({x}, '^({cc})?" + f"{vv}{cc}" * n + "')"  # noqa: E731  measure of n at least
+    vowel = lambda x: f"regexp_matches({x}, '^({cc})?{v}')"
+    short = lambda x: f"regexp_matches({x}, '^{cc}{v}[^aeiouwxy]$')"
+    one = lambda x: f"regexp_matches({x}, '^({cc})?{vv}{cc}({vv})?$')"
+    cut = lambda n, x="w": f"left({x}, length({x}) - {n})"
+
+    def suffixes(rules: dict[str, str], n: int) -> str:
+        longest = sorted(rules, key=len, reverse=True)
+        whens = [f"WHEN ends_with(w, '{s}') THEN CASE WHEN {more(cut(len(s)), n)}{' AND right(' + cut(3) + ", 1) IN ('s', 't')" if s == 'ion' else ''} THEN {cut(len(s))} || '{rules[s]}' ELSE w END" for s in longest]
+        return "CASE " + " ".join(whens) + " ELSE w END"
+
+    tail = lambda x: (
+        f"CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN regexp_matches({x}, '[^aeioulsz]$') AND right({x}, 1) = right({cut(1, x)}, 1) THEN {cut(1, x)} WHEN {short(x)} THEN {x} || 'e' ELSE {x} END"
+    )
+    return [
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {more(cut(3), 1)} THEN {cut(1)} ELSE w END WHEN ends_with(w, 'ed') AND {vowel(cut(2))} THEN {tail(cut(2))} WHEN ends_with(w, 'ing') AND {vowel(cut(3))} THEN {tail(cut(3))} ELSE w END",
+        f"CASE WHEN ends_with(w, 'y') AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END",
+        suffixes(STEP_2, 1),
+        suffixes(STEP_3, 1),
+        suffixes(dict.fromkeys(STEP_4, ""), 2),
+        f"CASE WHEN ends_with(w, 'e') AND ({more(cut(1), 2)} OR {one(cut(1))} AND NOT {short(cut(1))}) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {more('w', 2)} THEN {cut(1)} ELSE w END",
+    ]
+
+
+def stems_sql(source: str, name: str = "stems") -> str:
+    """CTEs ending in `name` (term, stem): Porter stems of the distinct terms of a source."""
+    steps = _porter()
+    out = [f"{name}0 AS (SELECT DISTINCT term, CASE WHEN starts_with(term, 'y') THEN 'Y' || substr(term, 2) ELSE term END AS w FROM ({source}) s WHERE regexp_matches(term, '^[a-z]{{3,}}$'))"]
+    out += [f"{name}{k + 1} AS (SELECT term, {step} AS w FROM {name}{k})" for k, step in enumerate(steps)]
+    out.append(f"{name} AS (SELECT term, lower(w) AS stem FROM {name}{len(steps)} UNION ALL SELECT DISTINCT term, term FROM ({source}) s WHERE NOT regexp_matches(term, '^[a-z]{{3,}}$'))")
+    return ",\n".join(out)
+
+
+#: The same over stems: what a search of the stemmed index finds.
+STEMMED_SQL = f"""{stems_sql("SELECT term FROM toks UNION SELECT term FROM best")},
+stf AS (SELECT id, stem AS term, sum(tf) AS tf FROM tf JOIN stems USING (term) GROUP BY id, stem),
+sdf AS (SELECT term, count(*) AS df FROM stf GROUP BY term),
+sqt AS (SELECT item_id AS query_id, stem AS term, count(*) AS times, count(*) OVER (PARTITION BY item_id) AS terms FROM best JOIN stems USING (term) GROUP BY item_id, stem)"""
 
 
 def chunks(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:

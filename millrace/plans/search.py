@@ -24,12 +24,19 @@ def bm25_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.stem import stems
+    """Through a stored index: built from old bodies of some records, then brought up to date."""
+    rows, index = b.records(spark, d), b.stored_index(spark, d)
+    return index.search(b.queries(spark, d), rows, K).withColumn("score", F.round("score", 8))
 
-    def tokenize(column):
-        return stems(text.tokens(column))
 
-    return lexical.search(b.records(spark, d), b.queries(spark, d), K, tokenize=tokenize).withColumn("score", F.round("score", 8))
+def keyword_operators(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases, AND, OR, NOT and a syntax error, from each item's first two words and its two search terms."""
+    first = text.tokens(F.col("text"))
+    items = b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws("_", first[0], first[1]).alias("p"), first[0].alias("w"))
+    rows = b.queries(spark, d).select("query_id", F.split_part("query", F.lit(" "), F.lit(1)).alias("a"), F.split_part("query", F.lit(" "), F.lit(2)).alias("b")).where("b <> ''").join(items, "query_id")
+    spoken = F.array(*[F.format_string(shape, "a", "b", "p", "w") for shape in ("%3$s", "%1$s AND %2$s", "%1$s OR %2$s", "%1$s NOT %2$s", "%1$s %2$s OR %3$s AND %1$s NOT %2$s", "AND %1$s")])
+    asked = rows.select("query_id", F.posexplode(spoken).alias("k", "query")).select((F.col("query_id") * 10 + F.col("k")).alias("query_id"), "query")
+    return lexical.search(b.records(spark, d), asked, K).withColumn("score", F.round("score", 8))
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +131,12 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def related_by_tag(spark: SparkSession, d: str) -> DataFrame:
     """How often terms of queries occur by tag, from the postings: an exploded view of tags."""
     tagged = b.records(spark, d).select("id", F.explode("tags").alias("tag"))
-    posted = lexical.postings(b.records(spark, d), terms=lexical.query_terms(b.queries(spark, d)))
+    posted = lexical.postings(b.records(spark, d), terms=lexical.asked_terms(lexical.plan(b.queries(spark, d))))
     per = posted.join(tagged, "id").groupBy("tag", "term").agg(F.count(F.lit(1)).alias("records"))
     return per.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy(F.col("records").desc(), "term"))).where("place <= 5")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_typed, bm25_stemmed, term_stats, knn_l2_topk, knn_typed, knn_typed_compat, rrf_fuse, rrf_weighted, hybrid_rescored, hybrid_visible, hybrid_search, rerank_lexical, mmr_topk, search_snippets, hyde_gate, fts_sanitize, eval_metrics, related_by_tag)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_typed, bm25_stemmed, keyword_operators, term_stats, knn_l2_topk, knn_typed, knn_typed_compat, rrf_fuse, rrf_weighted, hybrid_rescored, hybrid_visible, hybrid_search, rerank_lexical, mmr_topk, search_snippets, hyde_gate, fts_sanitize, eval_metrics, related_by_tag)}
 
 _BASE = f"WITH {b.RECORDS_SQL}, {b.QUERIES_SQL}"
 
@@ -139,7 +146,7 @@ def _bm(where: str, k: int) -> str:
 
 
 def _rrf(kw: float, vw: float) -> str:
-    return f"""{b.BM25_SQL}, {_bm("", WIDE)}, {b.knn_sql(WIDE, True)},
+    return f"""{b.bm25_sql()}, {_bm("", WIDE)}, {b.knn_sql(WIDE, True)},
 bestc AS (SELECT query_id, id, min(rank) AS cr FROM nn GROUP BY query_id, id),
 dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY cr) AS v FROM bestc),
 fused0 AS (SELECT query_id, id, bmk.rank AS bm25_rank, v AS vec_rank,
@@ -160,8 +167,29 @@ _TYPED = "WHERE id IN (SELECT id FROM records WHERE type IN ('memory', 'skill'))
 _HITS = "SELECT query_id, id, round(score, 10) AS score, bm25_rank::INT AS bm25_rank, vec_rank::INT AS vec_rank, position"
 
 ORACLE = {
-    "bm25_topk": f"{_BASE}, {b.BM25_SQL}, {_bm('', K)} SELECT query_id, id, round(score, 8) AS score, rank FROM bmk",
-    "bm25_typed": f"{_BASE}, {b.BM25_SQL}, {_bm(_TYPED, K)} SELECT query_id, id, round(score, 8) AS score, rank FROM bmk",
+    "bm25_topk": f"{_BASE}, {b.bm25_sql()}, {_bm('', K)} SELECT query_id, id, round(score, 8) AS score, rank FROM bmk",
+    "bm25_typed": f"{_BASE}, {b.bm25_sql()}, {_bm(_TYPED, K)} SELECT query_id, id, round(score, 8) AS score, rank FROM bmk",
+    "bm25_stemmed": f"{_BASE}, {b.STEMMED_SQL}, {b.bm25_sql('sqt', 'stf', 'sdf')}, {_bm('', K)} SELECT query_id, id, round(score, 8) AS score, rank FROM bmk",
+    "keyword_operators": f"""{_BASE}, said AS (SELECT query_id, split_part(query, ' ', 1) AS a, split_part(query, ' ', 2) AS b, {b.words_sql("text")}[1] AS w1, {b.words_sql("text")}[2] AS w2 FROM queries JOIN benchmark ON item_id = query_id WHERE contains(query, ' ')),
+asked AS (
+  SELECT query_id * 10 AS query_id, 0 AS part, 0 AS every, 0 AS other, 1 AS needs, 1 AS phrases, w1 || ' ' || w2 AS phrase FROM said
+  UNION ALL SELECT query_id * 10 + 1, 0, e, 0, 2, 1, CASE e WHEN 0 THEN a ELSE b END FROM said, range(2) r(e)
+  UNION ALL SELECT query_id * 10 + 2, e, 0, 0, 1, 1, CASE e WHEN 0 THEN a ELSE b END FROM said, range(2) r(e)
+  UNION ALL SELECT query_id * 10 + 3, 0, 0, e, 1, 1, CASE e WHEN 0 THEN a ELSE b END FROM said, range(2) r(e)
+  UNION ALL SELECT query_id * 10 + 4, 0, 0, 0, 1, 2, CASE e WHEN 0 THEN a ELSE b END FROM said, range(2) r(e)
+  UNION ALL SELECT query_id * 10 + 4, 1, 0, 0, 2, 1, w1 || ' ' || w2 FROM said
+  UNION ALL SELECT query_id * 10 + 4, 1, 1, e, 2, 1, CASE e WHEN 0 THEN a ELSE b END FROM said, range(2) r(e)),
+parts AS (SELECT id, {b.words_sql("c")} AS ws FROM (SELECT id, unnest([title, body, lang || ' ' || source]) AS c FROM records)),
+pairs AS (SELECT id, unnest(list_zip(ws[1:-2], ws[2:])) AS z FROM parts WHERE len(ws) > 1),
+occ AS (SELECT term AS phrase, id, tf FROM tf WHERE term IN (SELECT phrase FROM asked)
+  UNION ALL SELECT z[1] || ' ' || z[2] AS phrase, id, count(*) FROM pairs WHERE z[1] || ' ' || z[2] IN (SELECT phrase FROM asked) GROUP BY ALL),
+odf AS (SELECT phrase, count(*) AS df FROM occ GROUP BY phrase),
+met AS (SELECT query_id, part, every, other, o.id, any_value(needs) AS needs, sum(-(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END)
+    * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS s
+  FROM asked JOIN occ o USING (phrase) JOIN odf USING (phrase) JOIN dl ON dl.id = o.id, st GROUP BY query_id, part, every, other, o.id HAVING count(*) = any_value(phrases)),
+whole AS (SELECT query_id, part, id, sum(s) FILTER (other = 0) AS s FROM met GROUP BY query_id, part, id HAVING count(*) FILTER (other = 0) = any_value(needs) AND count(*) FILTER (other > 0) = 0),
+hit AS (SELECT query_id, id, sum(s) AS score FROM whole GROUP BY query_id, id)
+SELECT query_id, id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM hit QUALIFY rank <= {K}""",
     "term_stats": f"{_BASE} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term",
     "knn_l2_topk": f"{_BASE}, {b.knn_sql(K, False)} SELECT query_id, chunk_id, id, round(distance, 6) AS distance, rank FROM nn",
     "knn_typed_compat": f"{_BASE}, {b.knn_sql(5 * K, False)} SELECT query_id, chunk_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), chunk_id) AS rank FROM nn {_TYPED} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), chunk_id) <= {K}",
@@ -185,7 +213,7 @@ SELECT key, q <> '' AND NOT regexp_matches(q, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0
   AND NOT regexp_matches(q, '^[/~][\w./~\-]+$|^[\w\-]+/[\w./\-]+$') AND NOT regexp_matches(q, '"[^"]+"') AND NOT regexp_matches(q, '\b(AND|OR|NOT)\b') AND NOT regexp_matches(q, '(^|\s)[+-]\w')
   AND len(regexp_split_to_array(q, '\s+')) >= 3 AS expands FROM t""",
     "fts_sanitize": r"""SELECT conv_id, turn, trim(regexp_replace('what''s-new? ' || text, '[^\p{L}\p{N}_\s]', ' ', 'g')) AS clean FROM conversations""",
-    "eval_metrics": f"""{_BASE}, {b.BM25_SQL}, {_bm('', K)},
+    "eval_metrics": f"""{_BASE}, {b.bm25_sql()}, {_bm('', K)},
 fr AS (SELECT query_id, min(rank) AS r FROM bmk JOIN records USING (id) JOIN benchmark bb ON bb.item_id = query_id
   WHERE contains(lower(body), lower(substr(bb.text, 1, 60))) OR contains(lower(title), lower(substr(bb.text, 1, 60))) OR contains(path, lower(substr(bb.text, 1, 60))) GROUP BY query_id),
 c AS (SELECT ['conceptual','factual','historical','procedural'][(item_id % 4 + 1)::INT] AS class, r FROM benchmark LEFT JOIN fr ON query_id = item_id)

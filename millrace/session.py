@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +15,15 @@ def session(app: str = "millrace", master: str | None = None, shuffle_partitions
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for checkpoints; a temporary one only where all runs on one machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
