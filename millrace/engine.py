@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .model import SearchOptions
-from .operators import fusion, hygiene, ingest, models, state
-from .streaming.ingest import MAPPING, RECORDS, Store
+from .operators import fusion, hygiene, models, state
+from .streaming.ingest import RECORDS, Store, taken_in
 
 CHUNKS = "chunk_id string, id string, chunk_index int, text string, embedding array<double>"
 STATE = "id string, body_hash string, signature string"
+#: Tables whose rows go with their record.
+CHILDREN = {"chunks": CHUNKS, "embed_state": STATE}
 LOG = "id long, ts timestamp, kind string, query string, client string, memory_id string, rank int, score double"
 
 
@@ -31,9 +33,7 @@ class Engine:
 
     def ingest(self, batch: DataFrame, version: int, now: Column, known_heads: DataFrame | None = None) -> None:
         """Source rows (`streaming.ingest.BATCH`) into records, then vectors for what changed."""
-        records, mapping = self.records(), self.store.read("source_map", MAPPING)
-        out = ingest.ingested(batch, records, mapping, now, known_heads)
-        self.store.write(version, records=out["records"].select(*records.columns), source_map=out["source_map"].select(*mapping.columns))
+        self.store.change(version, lambda read: taken_in(read, batch, now, known_heads, CHILDREN))
         self.refresh(version)
 
     def refresh(self, version: int) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import AUTHORED_TYPES, ID_NAMESPACE, SEED_WEIGHTS, SKILL_REQUIRED, TRANSIENT_DAYS, TYPES
+from ..session import cut
 
 # Patterns of noise, in the order in which they are tried.
 HEARTBEAT = (r"(?m)^\s*HEARTBEAT_OK\s*$", r"(?im)^\s*\[heartbeat\]")
@@ -167,14 +168,38 @@ def first_bodies(rows: DataFrame, arrival: str = "arrival_seq", known: DataFrame
     return hashed.groupBy("hash").agg(F.min_by("id", F.struct(arrival, "id")).alias("id"), F.count(F.lit(1)).alias("seen_count"))
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "id", slot: str | None = "path") -> DataFrame:
-    """old with new rows in place of those of equal key, or of equal slot; no MERGE is needed."""
+def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str = "id", slot: str | None = "path", order: list[str] | None = None) -> DataFrame:
+    """old with new rows in place of those of equal key, or of equal slot; no MERGE is needed.
+
+    Of new rows of one key the last by `order` (columns of new; the key breaks ties)
+    is taken, and then of one slot, as if they had come in turn; so keys and slots are unique.
+    """
+    order = [*(order or []), key]
+    # Of a key all columns break ties, so the choice is the same in every run.
+    new = last_of(new, [key], [*order, *sorted(c for c in new.columns if c not in order)])
+    if slot:
+        new = last_of(new, [slot], order)
     kept = old.join(new.select(key), key, "left_anti")
     if slot:
         kept = kept.join(new.select(slot), slot, "left_anti")
     return kept.select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def cascaded(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Child tables (each with the column id, or memory_id) without the rows of records that are gone."""
+    out = {}
+    for name, rows in tables.items():
+        key = "memory_id" if "memory_id" in rows.columns else "id"
+        out[name] = rows.join(gone.select(F.col("id").alias(key)), key, "left_anti")
+    return out
+
+
 def removed(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(keys.select(key), key, "left_anti")
 
@@ -195,37 +220,84 @@ def with_header(rows: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("deleted_at", F.lit(None).cast("timestamp")).drop("_importance", "_valid_to", "_deprecated_by", "_valid_from")
 
 
-def ingested(batch: DataFrame, records: DataFrame, source_map: DataFrame, now: Column, known_heads: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One batch of source records through the whole chain, as set operations.
+def body_hashes(records: DataFrame) -> DataFrame:
+    """(hash, id, seen_count): who owns which normalized body, for a store that kept no such table."""
+    hashed = records.select("id", text.normalized_hash(F.col("body")).alias("hash"))
+    return hashed.groupBy("hash").agg(F.min("id").alias("id"), F.lit(1).cast("long").alias("seen_count"))
+
 
-    batch: arrival_seq, source, ref, type, title, body, tags, created, updated.
-    records: the current table; source_map: source, ref, id, hash. Returns the
-    records and source_map after it, and the decisions made.
+def _details(batch: DataFrame) -> DataFrame:
+    """batch with session_id, daily_date, daily_scope and scope, from its columns or its metadata; a daily's date also from its file's name."""
+    for name in ("session_id", "daily_date", "daily_scope", "scope"):
+        found = [F.col(name)] if name in batch.columns else []
+        found += [F.col("metadata")[name]] if "metadata" in batch.columns else []
+        batch = batch.withColumn(name, F.coalesce(*found, F.lit(None).cast("string")))
+    named = F.nullif(F.regexp_extract("ref", r"(?:^|/)(\d{4}-\d{2}-\d{2})(?:\.[^./]*)?$", 1), F.lit(""))
+    return batch.withColumn("daily_date", F.coalesce("daily_date", named))
 
-    The last row of each (source, ref) counts. Noise is dropped; of equal bodies
-    the first to arrive is kept, unless a ref holds the body already that does not
-    give it up in this batch. A known ref keeps its id, and its record its path; if
-    its new body is another record's, both stay as they are.
+
+def ingested(batch: DataFrame, records: DataFrame, source_map: DataFrame, now: Column, known_heads: DataFrame | None = None, hashes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One batch of source records through the whole chain, as set operations.
+
+    batch: arrival_seq, source, ref, type, title, body, tags, created, updated, and
+    where known metadata or session_id, daily_date, daily_scope, scope.
+    records: the current table; source_map: source, ref, id, hash; hashes: hash, id,
+    seen_count. Returns all three after it, the ids that lost their path to another
+    record (`displaced`; their child rows must go), and the decisions made.
+
+    The last row of each (source, ref) counts. Noise is dropped. A known ref rewrites
+    its record, which keeps its path; if several refs of one record change, the last
+    to arrive is its body. A body belongs to one record: one that a record had before
+    the batch is that record's, unless the record gives it up in the batch; a new
+    one is that of the first to arrive. A known ref that brings another record's body
+    changes nothing; a new one is mapped to that record if it is authored. Of records
+    with one path the last to arrive stays.
     """
-    if "scope" in records.columns and "scope" not in batch.columns:
-        batch = batch.withColumn("scope", F.lit(None).cast("string"))
-    last = Window.partitionBy("source", "ref").orderBy(F.col("arrival_seq").desc())
-    rows = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    rows = last_of(_details(batch), ["source", "ref"], ["arrival_seq"])
     rows = noise_decisions(rows, known_heads).withColumn("hash", text.normalized_hash(F.col("body")))
     kept = rows.where("action != 'drop'").join(source_map.select("source", "ref", F.col("id").alias("_id")), ["source", "ref"], "left")
-    kept = kept.withColumn("id", F.coalesce("_id", text.uuid5(ID_NAMESPACE, F.concat_ws(":", "source", "ref"))))
-    now_held = source_map.join(kept.select("source", "ref", F.col("hash").alias("_new")), ["source", "ref"], "left").where("_new is null or _new = hash")
-    owners = now_held.groupBy("hash").agg(F.min("id").alias("_owner"))
-    first = kept.groupBy("hash").agg(F.min_by("id", F.struct("arrival_seq", "id")).alias("_first"))
-    kept = kept.join(first.join(owners, "hash", "left"), "hash").withColumn("_owner", F.coalesce("_owner", "_first"))
-    own = kept.where("_owner = id").withColumn("importance", F.lit(None).cast("double"))
-    fresh = with_header(own, records, now)
-    nothing = F.lit(None).cast("string")
+    kept = kept.withColumn("id", F.coalesce("_id", text.uuid5(ID_NAMESPACE, F.concat_ws(":", "source", "ref")))).withColumn("known", F.col("_id").isNotNull())
+    kept = cut(kept)  # noise, hashes and ids are found once
+    hashes = body_hashes(records) if hashes is None else hashes
+    held = hashes.select("hash", F.col("id").alias("_holder"))
+
+    # What each record is to become: the last of its refs.
+    slim = kept.select("source", "ref", "id", "hash", "arrival_seq", "known", "type")
+    latest = cut(last_of(slim, ["id"], ["arrival_seq", "source", "ref"]).join(held, "hash", "left"))
+    # A body that nobody had: the first to bring it.
+    claims = latest.where("_holder is null").groupBy("hash").agg(F.min_by("id", F.struct("arrival_seq", "id")).alias("_owner"))
+    latest = cut(latest.join(claims, "hash", "left"))
+    moved = latest.where("_owner = id").select("id")
+    # A body that a record had before and gives up: the first new ref to bring it.
+    left_ = held.join(moved.withColumnRenamed("id", "_holder"), "_holder", "left_semi").select("hash", F.lit(True).alias("_free"))
+    latest = cut(latest.join(left_, "hash", "left"))
+    heirs = latest.where("_free and not known and _holder != id").groupBy("hash").agg(F.min_by("id", F.struct("arrival_seq", "id")).alias("_heir"))
+    # A record that rewrites itself with the body it has gives up nothing.
+    owner = F.coalesce("_owner", F.when(F.col("_free") & (F.col("_holder") != F.col("id")), F.coalesce("_heir", "_holder")), "_holder")
+    owners = cut(latest.join(heirs, "hash", "left").select("source", "ref", "id", "hash", owner.alias("_owner")))
+    own = kept.join(owners.where("_owner = id").select("source", "ref"), ["source", "ref"], "left_semi")
+
+    fresh = with_header(own.withColumn("importance", F.lit(None).cast("double")), records, now)
     fresh = fresh.join(records.select("id", F.col("path").alias("_path")), "id", "left")
-    fresh = fresh.withColumn("path", F.coalesce("_path", vault_path(F.col("type"), F.col("id"), F.col("title"), F.col("source"), F.col("tags"), F.col("created"), nothing, nothing, nothing)))
-    after = upserted(records, fresh.select(*records.columns))
-    attached = kept.where((F.col("_owner") == F.col("id")) | (F.col("_id").isNull() & F.col("type").isin(*AUTHORED_TYPES)))
-    mapped = attached.select("source", "ref", F.col("_owner").alias("id"), "hash")
-    return {"records": after, "source_map": source_map.join(mapped, ["source", "ref"], "left_anti").select(*mapped.columns).unionByName(mapped), "decisions": rows.select("source", "ref", "action", "kind")}
-
-
+    placed = vault_path(F.col("type"), F.col("id"), F.col("title"), F.col("source"), F.col("tags"), F.col("created"), F.col("session_id"), F.col("daily_date"), F.col("daily_scope"))
+    fresh = fresh.withColumn("path", F.coalesce("_path", placed))
+    after = upserted(records, fresh.select(*records.columns, "arrival_seq"), order=["arrival_seq"])
+    there = cut(after.select("id"))
+    displaced = records.select("id").unionByName(fresh.select("id")).distinct().join(there, "id", "left_anti")
+
+    # Whose body each ref brought. A known ref stays with its record; a new, authored one goes to the owner of its body.
+    by_hash = owners.groupBy("hash").agg(F.first("_owner").alias("_owner"))
+    taken = slim.join(by_hash, "hash", "left").join(held, "hash", "left").withColumn("_owner", F.coalesce("_owner", "_holder", "id"))
+    target = F.when(F.col("known"), F.col("id")).otherwise(F.col("_owner"))
+    rewritten = own.select("id", "hash", F.lit(1).cast("long").alias("seen_count"))
+    mapped = taken.join(rewritten.select("id", F.lit(True).alias("_changed")), "id", "left").where("known and _changed or not known and _owner = id" + "".join(f" or not known and type = '{t}'" for t in AUTHORED_TYPES))
+    mapped = mapped.select("source", "ref", target.alias("id"), "hash")
+    mapping = source_map.join(mapped, ["source", "ref"], "left_anti").select(*mapped.columns).unionByName(mapped).join(there, "id", "left_semi").select(*mapped.columns)
+
+    # Bodies with their owners, and how often each came: once with its owner, and with each ref that brought it for another record.
+    stale = hashes.join(rewritten.select("id"), "id", "left_anti").join(rewritten.select("hash"), "hash", "left_anti")
+    same = rewritten.join(hashes.select("hash", "id", F.col("seen_count").alias("_before")), ["hash", "id"], "left").select("hash", "id", F.coalesce("_before", "seen_count").alias("seen_count"))
+    again = taken.where("_owner <> id").groupBy("hash").agg(F.count(F.lit(1)).alias("_again"))
+    counted = stale.select("hash", "id", "seen_count").unionByName(same).join(there, "id", "left_semi").join(again, "hash", "left")
+    counted = counted.select("hash", "id", (F.col("seen_count") + F.coalesce("_again", F.lit(0))).alias("seen_count"))
+    return {"records": after, "source_map": mapping, "hashes": counted, "displaced": displaced, "decisions": rows.select("source", "ref", "action", "kind")}

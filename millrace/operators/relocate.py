@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import cut
 
 PARKED = "_meta/superseded-daily/"
 
@@ -28,12 +28,6 @@ def daily_target(ref: Column, agent: Column, folders: Sequence[str] = ("memory",
     return F.when(stem.rlike(r"^\d{4}-\d{2}-\d{2}$"), path)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of one round in the shared checkpoint folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
-
-
 def relocated(records: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, path, status): where records end up.
 
@@ -45,14 +39,14 @@ def relocated(records: DataFrame, targets: DataFrame) -> DataFrame:
     """
     rows = records.join(targets, "id", "left").withColumn("status", F.lit("unchanged"))
     open_ = F.col("target").isNotNull() & (F.col("target") != F.col("path")) & (F.col("status") == "unchanged")
-    rows = _cut(rows)
+    rows = cut(rows)
     while True:
         waiting = rows.where(open_).select(F.col("id").alias("mover"), "target", F.col("ref").alias("mover_ref"))
         held = rows.select(F.col("path").alias("target"), F.col("id").alias("holder"), F.col("ref").alias("holder_ref"), (~F.col("owns") & (F.col("status") == "unchanged")).alias("loose"))
         met = waiting.join(held, "target", "left")
         may = met.where(F.col("holder").isNull() | (F.col("loose") & (F.col("holder_ref") == F.col("mover_ref")) & (F.col("holder") != F.col("mover"))))
         chosen = may.groupBy("target").agg(F.min(F.struct("mover", "holder")).alias("m")).select("target", "m.mover", "m.holder")
-        moves = _cut(chosen)
+        moves = cut(chosen)
         if not moves.limit(1).count():
             return rows.select("id", "path", F.when(open_, "blocked").otherwise(F.col("status")).alias("status"))
         parked = moves.where("holder is not null").select(F.col("holder").alias("id"), F.lit(True).alias("_park"))
@@ -60,4 +54,4 @@ def relocated(records: DataFrame, targets: DataFrame) -> DataFrame:
         rows = rows.join(parked, "id", "left").join(moved, "id", "left")
         path = F.when(F.col("_park"), F.concat(F.lit(PARKED), "path")).otherwise(F.coalesce("_to", "path"))
         status = F.when(F.col("_park"), "parked").when(F.col("_to").isNotNull(), "moved").otherwise(F.col("status"))
-        rows = _cut(rows.withColumn("status", status).withColumn("path", path).drop("_park", "_to"))
+        rows = cut(rows.withColumn("status", status).withColumn("path", path).drop("_park", "_to"))

@@ -85,9 +85,13 @@ def skip_unchanged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """New rows take others' paths, each other's too, and some ids come twice."""
+    i = F.col("id")
     rows = b.records(spark, d).select("id", "title", "path")
-    new = rows.where("id % 10 = 3").select("id", F.lit("new").alias("title"), F.when(F.col("id") % 20 == 3, F.concat(F.lit("memories/"), (F.col("id") + 1).cast("string"), F.lit(".md"))).otherwise(F.col("path")).alias("path"))
-    return ingest.upserted(rows, new)
+    path = lambda n: F.concat(F.lit("memories/"), n.cast("string"), F.lit(".md"))
+    new = rows.where("id % 10 = 3").select("id", F.lit("new").alias("title"), F.when(i % 20 == 3, path(i + 1)).when(i % 40 == 13, path(i - 9)).otherwise(F.col("path")).alias("path"), F.lit(1).alias("turn"))
+    again = rows.where("id % 30 = 3").select("id", F.lit("newer").alias("title"), "path", F.lit(2).alias("turn"))
+    return ingest.upserted(rows, new.union(again), order=["turn"])
 
 
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -108,11 +112,12 @@ def stages_due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as one batch of source records, the noisy ones dropped, equal bodies kept once."""
+    """The documents as one batch of source records: the noisy ones dropped, equal bodies kept once, of records with one path the last."""
     rows = b.noisy(spark, d).select(F.col("id").alias("arrival_seq"), "source", "ref", "type", "title", "body", "tags", "created", "updated")
     columns = "id string, type string, title string, body string, tags array<string>, source string, created timestamp, updated timestamp, importance double, valid_from timestamp, valid_to timestamp, deprecated_by string, deleted_at timestamp, path string"
     out = ingest.ingested(rows, spark.createDataFrame([], columns), spark.createDataFrame([], "source string, ref string, id string, hash string"), b.now())
-    return out["records"].select("type", F.md5("body").alias("digest"), "title", F.round("importance", 8).alias("importance"), "valid_to", "source")
+    named = F.when(F.col("type").isin("skill", "daily"), F.col("path")).otherwise("").alias("place")
+    return out["records"].select(named, "type", F.md5("body").alias("digest"), "title", F.round("importance", 8).alias("importance"), "valid_to", "source")
 
 
 def daily_relocation(spark: SparkSession, d: str) -> DataFrame:
@@ -164,14 +169,19 @@ per AS (SELECT root, count(*) AS total, count(*) FILTER (NOT ex AND root IS NOT
 v AS (SELECT a.id, ex, NOT ex AND (a.root IS NULL OR dead > greatest(10, floor(total * 0.5::DOUBLE))) AS unverified FROM a JOIN per ON a.root IS NOT DISTINCT FROM per.root)
 SELECT id, CASE WHEN bool_or(ex) THEN 'live' WHEN bool_or(unverified) THEN 'unverified' ELSE 'tombstone' END AS verdict FROM v GROUP BY id""",
     "skip_unchanged": f"{_R} SELECT id, ref FROM records WHERE id % 4 = 0 OR id % 6 = 1",
-    "merge_upsert": f"""{_R}, new AS (SELECT id, 'new' AS title, CASE WHEN id % 20 = 3 THEN 'memories/' || (id + 1)::VARCHAR || '.md' ELSE path END AS path FROM records WHERE id % 10 = 3)
-SELECT id, title, path FROM records WHERE id NOT IN (SELECT id FROM new) AND path NOT IN (SELECT path FROM new) UNION ALL SELECT * FROM new""",
+    "merge_upsert": f"""{_R}, new AS (SELECT id, 'new' AS title, CASE WHEN id % 20 = 3 THEN 'memories/' || (id + 1)::VARCHAR || '.md' WHEN id % 40 = 13 THEN 'memories/' || (id - 9)::VARCHAR || '.md' ELSE path END AS path, 1 AS turn FROM records WHERE id % 10 = 3
+  UNION ALL SELECT id, 'newer', path, 2 FROM records WHERE id % 30 = 3),
+one AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1),
+taken AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY path ORDER BY turn DESC, id DESC) = 1)
+SELECT id, title, path FROM records WHERE id NOT IN (SELECT id FROM taken) AND path NOT IN (SELECT path FROM taken) UNION ALL SELECT id, title, path FROM taken""",
     "cache_lookup": """WITH c AS (SELECT DISTINCT text FROM conversations WHERE role = 'user')
 SELECT role, count(*) FILTER (text IN (SELECT text FROM c)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM c)) AS misses FROM conversations GROUP BY role""",
     "stages_due": f"""WITH s AS (SELECT user_id AS name, 86400 * (user_id % 30) AS every, CASE WHEN user_id % 9 <> 0 THEN max(ts) END AS last_run, CASE WHEN user_id % 10 = 0 THEN {_NOW} - to_seconds((user_id * 60 % 7200)::INT) END AS locked_at FROM events GROUP BY user_id)
 SELECT name, (last_run IS NULL OR floor(epoch({_NOW})) - floor(epoch(last_run)) >= every) AND (locked_at IS NULL OR epoch({_NOW}) - epoch(locked_at) > 3600) AS due FROM s""",
     "ingest_batch": f"""{_R}, {b.NOISY_SQL}, kept AS (SELECT *, {_HASH} AS hash FROM noisy WHERE id % 97 <> 0 AND id % 89 <> 0 AND id % 83 <> 0),
-first AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1)
-SELECT type, md5(body) AS digest, title, round({_SEED} + 0.3::DOUBLE * ((1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (epoch_us({_NOW}) - epoch_us(created))::DOUBLE / 86400000000.0::DOUBLE / 90.0::DOUBLE))) - 0.5::DOUBLE) - CASE WHEN length(body) < 100 THEN 0.1::DOUBLE ELSE 0 END)), 8) AS importance,
+owned AS (SELECT *, CASE type WHEN 'skill' THEN 'skills/' || substr(replace(lower(title), ' ', '-'), 1, 64) WHEN 'daily' THEN 'daily/' || strftime(created, '%Y-%m-%d') ELSE 'other/' || id::VARCHAR END || '.md' AS place
+  FROM kept QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1),
+first AS (SELECT * FROM owned QUALIFY row_number() OVER (PARTITION BY place ORDER BY id DESC) = 1)
+SELECT CASE WHEN starts_with(place, 'other/') THEN '' ELSE place END AS place, type, md5(body) AS digest, title, round({_SEED} + 0.3::DOUBLE * ((1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (epoch_us({_NOW}) - epoch_us(created))::DOUBLE / 86400000000.0::DOUBLE / 90.0::DOUBLE))) - 0.5::DOUBLE) - CASE WHEN length(body) < 100 THEN 0.1::DOUBLE ELSE 0 END)), 8) AS importance,
   CASE WHEN id % 73 = 0 OR id % 79 = 0 THEN {_NOW} + to_days(28) END AS valid_to, source FROM first""",
 }

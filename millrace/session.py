@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "millrace", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,3 +27,9 @@ def scratch(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, its lineage ended."""
+    scratch(df.sparkSession)
+    return df.checkpoint()

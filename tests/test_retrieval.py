@@ -123,3 +123,31 @@ def test_uuid5(spark):
     names = ["a", "memories/1.md", "ü/é"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.uuid5(space, F.col("n"))).collect()]
     assert got == [str(uuid.uuid5(uuid.UUID(space), n)) for n in names]
+
+
+def test_vectors_of_other_lengths_are_left_out_or_an_error(spark):
+    from millrace.operators import vector
+
+    chunks = spark.createDataFrame([(1, 1, [0.0, 1.0]), (2, 2, [0.0, 1.0, 0.0, 1.0]), (3, 3, [1.0, 1.0, 1.0]), (4, 4, None), (5, 5, [0.0, 0.0, 3.0])], "chunk_id long, id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, [])], "query_id long, embedding array<double>")
+    out = vector.knn(chunks, asked, 10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], round(r["distance"], 6)) for r in out] == [(1, 3, 1.732051), (1, 5, 3.0), (2, 1, 0.0)]
+    with pytest.raises(Exception, match="another length"):
+        vector.knn(chunks, asked, 10, strict=True).collect()
+    assert vector.knn(chunks, asked.where("query_id > 9"), 3).count() == 0
+
+
+def test_a_task_keeps_what_the_final_k_need(spark):
+    from millrace.operators import vector
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i, rng.integers(0, 4, 3).astype(float).tolist()) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        asked = spark.createDataFrame([(q, rng.integers(0, 4, 3).astype(float).tolist()) for q in range(5)], "query_id long, embedding array<double>")
+        got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in vector.knn(spark.createDataFrame(rows, "chunk_id long, id long, embedding array<double>").coalesce(2), asked, 7).collect()}
+        for q in asked.collect():
+            best = sorted(rows, key=lambda r: (round(math.dist(r[2], q["embedding"]), 6), r[0]))[:7]
+            assert [got[q["query_id"], n + 1] for n in range(7)] == [r[0] for r in best]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
