@@ -95,21 +95,26 @@ def owning_root(refs: DataFrame, roots: DataFrame) -> DataFrame:
     return refs.join(owned, "ref", "left")
 
 
-def source_sweep(mapping: DataFrame, records: DataFrame, roots: DataFrame, share: float | None = VALVE_SHARE) -> DataFrame:
-    """(id, verdict): what missing source files mean for authored records.
-
-    mapping: source, ref, id, exists. A record is a tombstone if all of its refs
-    are dead and none is unverified: refs without a root, or of a root that
-    lost more than the valve allows, are. With a live ref it is restored.
-    """
+def ref_states(mapping: DataFrame, records: DataFrame, roots: DataFrame, share: float | None = VALVE_SHARE) -> DataFrame:
+    """(source, ref, id, state) of authored records' refs: live, dead, or unverified: without a root, or of one that lost more than the valve allows."""
     rows = owning_root(mapping, roots).join(records.where(F.col("type").isin(*AUTHORED_TYPES)).select("id"), "id", "left_semi")
     rows = rows.withColumn("dead", ~F.col("exists") & F.col("root").isNotNull())
     per = rows.groupBy("root").agg(F.count(F.lit(1)).alias("_total"), F.count_if("dead").alias("_dead"))
     blocked = F.lit(False) if share is None else _valve(F.col("_dead"), F.col("_total"), share)
     rows = rows.join(per.select("root", blocked.alias("_blocked")), rows.root.eqNullSafe(per.root), "left").drop(per.root)
-    unverified = ~F.col("exists") & (~F.col("dead") | F.coalesce("_blocked", F.lit(False)))
-    verdict = F.when(F.max("exists"), "live").when(F.max(unverified), "unverified").otherwise("tombstone")
-    return rows.groupBy("id").agg(verdict.alias("verdict"))
+    state = F.when(F.col("exists"), "live").when(F.col("dead") & ~F.coalesce("_blocked", F.lit(False)), "dead").otherwise("unverified")
+    return rows.select("source", "ref", "id", state.alias("state"))
+
+
+def verdicts(states: DataFrame) -> DataFrame:
+    """(id, verdict): a tombstone if all refs are dead; with a live ref the record is restored."""
+    verdict = F.when(F.max(F.col("state") == "live"), "live").when(F.max(F.col("state") == "unverified"), "unverified").otherwise("tombstone")
+    return states.groupBy("id").agg(verdict.alias("verdict"))
+
+
+def source_sweep(mapping: DataFrame, records: DataFrame, roots: DataFrame, share: float | None = VALVE_SHARE) -> DataFrame:
+    """(id, verdict): what missing source files mean for authored records. mapping: source, ref, id, exists."""
+    return verdicts(ref_states(mapping, records, roots, share))
 
 
 def orphans(mapping: DataFrame, records: DataFrame) -> DataFrame:

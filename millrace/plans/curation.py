@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hygiene, ingest, state
+from ..operators import applies, hygiene, ingest, state
 from . import bindings as b
 
 
@@ -237,6 +237,40 @@ def drift_check(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.array_join("mismatches", ",").alias("mismatches"))
 
 
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of the groups of equal bodies, as of before some records changed, moved or were deprecated."""
+    rows = hygiene.hashed(b.records(spark, d).withColumn("deprecated_by", F.lit(None)))
+    first = rows.groupBy("hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("type", "id").alias("group_type")).where("n > 1")
+    i = F.col("id")
+    return rows.join(first, "hash").select(F.col("hash").alias("group_key"), F.when(F.col("first") % 17 == 5, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.when(F.col("first") % 3 == 0, F.col("type")).otherwise(F.col("group_type")).alias("type"), (F.col("first") % 13 != 4).alias("qualifies"), F.when(i == F.col("first"), "winner").otherwise("loser").alias("role"), "id", F.when(i % 29 == 3, F.lit("memories/gone.md")).otherwise(F.col("path")).alias("path"))
+
+
+def manifest_status(spark: SparkSession, d: str) -> DataFrame:
+    out = applies.manifest_status(_manifest(spark, d), b.records(spark, d))
+    return out.select("group_key", "id", "role", F.array_join("errors", ",").alias("errors"), "safe")
+
+
+def manifest_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Records after the manifest, with who says so in the change log."""
+    out = applies.manifest_applied(_manifest(spark, d), b.records(spark, d), b.now())
+    log = out["audit"].select(F.col("new_id").cast("long").alias("id"), "existing_id", "verdict")
+    return out["records"].select("id", "deprecated_by").join(log, "id", "left")
+
+
+def manifest_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a dry run and of the run."""
+    runs = [applies.manifest_applied(_manifest(spark, d), b.records(spark, d), b.now(), dry)["report"].withColumn("dry_run", F.lit(dry)) for dry in (True, False)]
+    return runs[0].unionByName(runs[1])
+
+
+def retro_apply(spark: SparkSession, d: str) -> DataFrame:
+    """What applying the plan against equal bodies writes: change log and tickets."""
+    rows = b.records(spark, d)
+    out = applies.collisions_applied(rows, hygiene.winners(hygiene.hashed(rows.where("deprecated_by is null")), b.exposures(spark, d)), b.now())
+    log = out["audit"].select(F.lit("audit").alias("kind"), F.col("new_id").alias("subject"), F.col("existing_id").alias("detail"))
+    return log.unionByName(out["tickets"].select(F.lit("ticket").alias("kind"), F.col("path").alias("subject"), F.col("size").cast("string").alias("detail")))
+
+
 def distill_retries(spark: SparkSession, d: str) -> DataFrame:
     """Users' error events as failures of their sessions: which wait for the next attempt."""
     errors = b.table(spark, d, "events").where("event_type = 'error'")
@@ -272,7 +306,7 @@ QUERIES = {
         body_hash, dedup_groups, dedup_winners, dedup_ingest_first, dedup_apply, audit_classes, audit_summary, phase1_select, noise_decisions, noise_summary, noise_expiry,
         importance_seed, importance_bumps, query_log_prune, retrieval_counts, type_counts, verify_report, topic_clusters, daily_week_clusters, undistilled_clusters,
         session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_candidates, project_members, wikilinks, image_refs, chunks, snippets, prefix_truncate,
-        titles, parse_scores, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
+        titles, parse_scores, manifest_status, manifest_apply, manifest_report, retro_apply, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
     )
 }
 
@@ -286,6 +320,16 @@ _NOISE = rf"""{b.NOISY_SQL}, decided AS (SELECT id, CASE
   WHEN regexp_matches(ref, '(?i)(?:^|[/\\.])(?:heartbeat|monitoring|pm2[/\\]+logs|cron[/\\]+logs|automation)(?:/|\\)') THEN 'automation_log'
   WHEN regexp_matches(body, '(?i)\b(?:deploy(?:ing)?|ship(?:ping)?|fix(?:ing)?|merge|merging|release|releasing|land(?:ing)?|push(?:ing)?)\b[^.\n]{{0,40}}\bby\b\s+(?:tomorrow|today|tonight|mon(?:day)?|tues?(?:day)?|wed(?:nesday)?|thur?s?(?:day)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?|eo[dw]|end\s+of\s+(?:day|week|sprint)|next\s+(?:week|sprint))') THEN 'transient_task' END AS kind FROM noisy),
 noise AS (SELECT id, CASE WHEN kind IS NULL THEN 'keep' WHEN kind IN ('automation_log','transient_task') THEN 'tag_transient' ELSE 'drop' END AS action, kind, CASE WHEN kind IN ('automation_log','transient_task') THEN 28 END AS ttl_days FROM decided)"""
+_MANIFEST = f"""hashed AS (SELECT *, {_HASH} AS h FROM records),
+firsts AS (SELECT h, min(id) AS first, arg_min(type, id) AS group_type FROM hashed GROUP BY h HAVING count(*) > 1),
+manifest AS (SELECT h AS group_key, CASE WHEN first % 17 = 5 THEN 'old' ELSE h END AS hash, CASE WHEN first % 3 = 0 THEN type ELSE group_type END AS type, first % 13 <> 4 AS qualifies,
+  CASE WHEN id = first THEN 'winner' ELSE 'loser' END AS role, id, CASE WHEN id % 29 = 3 THEN 'memories/gone.md' ELSE path END AS path FROM hashed JOIN firsts USING (h)),
+checked AS (SELECT m.*, array_to_string(list_filter([CASE WHEN NOT qualifies THEN 'not marked safe' END, CASE WHEN m.type IN ({", ".join(f"'{t}'" for t in hygiene.BLOCKED_TYPES)}) THEN 'blocked type' END, CASE WHEN r.id IS NULL THEN 'missing' END,
+  CASE WHEN r.h <> m.hash THEN 'body changed' END, CASE WHEN role = 'loser' AND r.deprecated_by IS NOT NULL THEN 'deprecated' END, CASE WHEN role = 'loser' AND r.type <> m.type THEN 'type changed' END], lambda x: x IS NOT NULL), ',') AS errors
+  FROM manifest m LEFT JOIN hashed r ON r.path = m.path),
+status AS (SELECT *, bool_and(errors = '') OVER (PARTITION BY group_key) AS safe FROM checked)"""
+_WIN_ALL = f"""rcs AS (SELECT memory_id AS id, count(*) AS retrievals FROM log GROUP BY 1),
+ranked AS (SELECT r.id, type, {_HASH} AS hash, row_number() OVER (PARTITION BY {_HASH} ORDER BY coalesce(importance, 0.5::DOUBLE) DESC, coalesce(retrievals, 0) DESC, updated DESC, r.id) AS place FROM records r LEFT JOIN rcs USING (id) WHERE deprecated_by IS NULL)"""
 _WIN = """rc AS (SELECT memory_id AS id, count(*) AS retrievals FROM log GROUP BY 1),
 sig AS (SELECT {key} AS k, r.id, r.type, -coalesce(importance, 0.5::DOUBLE) AS a, -coalesce(retrievals, 0) AS bb, -epoch_us(updated) AS c FROM {rows} r LEFT JOIN rc USING (id)),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY k) AS size, row_number() OVER w AS n, first_value(id) OVER w AS winner_id,
@@ -367,6 +411,15 @@ SELECT id AS key, CASE WHEN id % 4 = 0 THEN '00000000-0000-4000-8000-00000000000
     "invalid_records": f"{_R}, {_INVALID} SELECT * FROM p WHERE problems <> ''",
     "drift_check": f"""{_R} SELECT CASE WHEN id % 50 = 0 THEN -id - 1 ELSE id END AS id, CASE WHEN id % 50 = 0 THEN 'missing' ELSE
   array_to_string(list_filter([CASE WHEN id % 7 = 0 THEN 'body changed' END, CASE WHEN id % 11 = 0 THEN 'type changed' END, CASE WHEN deprecated_by IS NOT NULL THEN 'deprecated' END], lambda x: x IS NOT NULL), ',') END AS mismatches FROM records""",
+    "manifest_status": f"{_R}, {_MANIFEST} SELECT group_key, id, role, errors, safe FROM status",
+    "manifest_apply": f"""{_R}, {_MANIFEST}, changed AS (SELECT l.id, w.id AS winner_id FROM status l JOIN status w USING (group_key) WHERE l.safe AND l.role = 'loser' AND w.role = 'winner')
+SELECT r.id, coalesce(winner_id, deprecated_by)::VARCHAR AS deprecated_by, winner_id::VARCHAR AS existing_id, CASE WHEN winner_id IS NOT NULL THEN 'DUPLICATE' END AS verdict FROM records r LEFT JOIN changed USING (id)""",
+    "manifest_report": f"""{_R}, {_MANIFEST}, c AS (SELECT count(DISTINCT group_key) AS groups, count(DISTINCT group_key) FILTER (NOT safe) AS skipped, count(*) FILTER (safe AND role = 'loser') AS planned FROM status)
+SELECT groups, skipped, planned, 0::BIGINT AS applied, 0::BIGINT AS audit_rows, true AS dry_run FROM c UNION ALL SELECT groups, skipped, planned, planned, planned, false FROM c""",
+    "retro_apply": f"""{_R}, {b.EXPOSURES_SQL}, {_WIN_ALL},
+g AS (SELECT hash, bool_or(type = 'skill') AS skilled, count(*) AS n FROM ranked GROUP BY hash HAVING count(*) > 1)
+SELECT 'audit' AS kind, r.id::VARCHAR AS subject, w.id::VARCHAR AS detail FROM ranked r JOIN ranked w ON w.hash = r.hash AND w.place = 1 JOIN g ON g.hash = r.hash WHERE r.place > 1 AND NOT skilled
+UNION ALL SELECT 'ticket', 'skills/_review/dedup-' || w.id::VARCHAR || '.md', n::VARCHAR FROM g JOIN ranked w ON w.hash = g.hash AND w.place = 1 WHERE skilled""",
     "distill_retries": "SELECT user_id AS id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3 AND max(ts) > TIMESTAMP '2024-01-29 12:00:00'",
     "latest_distillations": f"""{_R}, l AS (SELECT id, path, 's' || (id % 20)::VARCHAR AS session_id FROM records WHERE type = 'distillation' UNION ALL SELECT id, path, 't' || (id % 7)::VARCHAR FROM records WHERE type = 'distillation')
 SELECT session_id, arg_max(id, path) AS id FROM l GROUP BY session_id""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ingest, relocate, state
+from ..operators import applies, ingest, relocate, state
 from . import bindings as b
 
 
@@ -78,6 +78,19 @@ def source_sweep(spark: SparkSession, d: str) -> DataFrame:
     return state.source_sweep(mapping.union(second), rows, roots)
 
 
+def sweep_apply(spark: SparkSession, d: str) -> DataFrame:
+    """A second sweep: some files are back, some are gone, and refs of records that are gone are left over."""
+    rows = b.records(spark, d)
+    i = F.col("id")
+    mapping = rows.select("source", "ref", "id", (i % 13 != 0).alias("exists"))
+    second = rows.where("id % 26 = 0").select("source", F.concat(F.col("ref"), F.lit(".bak")).alias("ref"), "id", F.lit(True).alias("exists"))
+    orphans = rows.where("id % 50 = 0").select("source", F.concat(F.col("ref"), F.lit(".old")).alias("ref"), (i + 8_000_000_000).alias("id"), F.lit(True).alias("exists"))
+    roots = rows.select(F.substring_index("ref", "/", 2).alias("root")).where("root != '/root3'").distinct()
+    out = applies.sweep_applied(mapping.union(second).union(orphans), rows, roots, b.now())
+    refs = out["mapping"].groupBy("id").agg(F.count(F.lit(1)).alias("refs"))
+    return out["records"].select("id", "deleted_at").join(refs, "id", "left").select("id", "deleted_at", F.coalesce("refs", F.lit(0)).alias("refs"))
+
+
 def skip_unchanged(spark: SparkSession, d: str) -> DataFrame:
     rows = b.records(spark, d).select("source", "ref", text.normalized_hash(F.col("body")).alias("hash"), "id")
     known = rows.where("id % 4 != 0").withColumn("hash", F.when(F.col("id") % 6 == 1, F.lit("stale")).otherwise(F.col("hash")))
@@ -136,7 +149,7 @@ def daily_targets(spark: SparkSession, d: str) -> DataFrame:
     return b.records(spark, d).select("id", relocate.daily_target(ref, F.when(i % 3 == 0, F.lit("ari"))).alias("target"))
 
 
-QUERIES = {f.__name__: f for f in (daily_relocation, daily_targets, needs_reembed, missing_state, queue_stats, queue_claim, queue_errors, queue_requeue, prune_missing, owning_root, source_sweep, skip_unchanged, merge_upsert, cache_lookup, stages_due, ingest_batch)}
+QUERIES = {f.__name__: f for f in (daily_relocation, daily_targets, needs_reembed, missing_state, queue_stats, queue_claim, queue_errors, queue_requeue, prune_missing, owning_root, source_sweep, sweep_apply, skip_unchanged, merge_upsert, cache_lookup, stages_due, ingest_batch)}
 
 _R = f"WITH {b.RECORDS_SQL}"
 _NOW = f"TIMESTAMP '{b.NOW_TEXT}'"
@@ -168,6 +181,12 @@ a AS (SELECT m.*, CASE WHEN m.ref NOT LIKE '/root3/%' THEN split_part(m.ref, '/'
 per AS (SELECT root, count(*) AS total, count(*) FILTER (NOT ex AND root IS NOT NULL) AS dead FROM a GROUP BY root),
 v AS (SELECT a.id, ex, NOT ex AND (a.root IS NULL OR dead > greatest(10, floor(total * 0.5::DOUBLE))) AS unverified FROM a JOIN per ON a.root IS NOT DISTINCT FROM per.root)
 SELECT id, CASE WHEN bool_or(ex) THEN 'live' WHEN bool_or(unverified) THEN 'unverified' ELSE 'tombstone' END AS verdict FROM v GROUP BY id""",
+    "sweep_apply": f"""{_R}, m AS (SELECT source, ref, id, id % 13 <> 0 AS ex FROM records UNION ALL SELECT source, ref || '.bak', id, true FROM records WHERE id % 26 = 0),
+a AS (SELECT m.*, r.type IN ('memory','skill','daily') AS authored, CASE WHEN m.ref NOT LIKE '/root3/%' THEN split_part(m.ref, '/', 2) END AS root FROM m JOIN records r USING (id)),
+per AS (SELECT root, count(*) AS total, count(*) FILTER (NOT ex AND root IS NOT NULL) AS dead FROM a WHERE authored GROUP BY root),
+v AS (SELECT a.*, CASE WHEN NOT authored THEN 'other' WHEN ex THEN 'live' WHEN a.root IS NULL OR dead > greatest(10, floor(total * 0.5::DOUBLE)) THEN 'unverified' ELSE 'dead' END AS state FROM a LEFT JOIN per ON a.root IS NOT DISTINCT FROM per.root),
+w AS (SELECT id, bool_or(state = 'live') AS live, bool_and(state = 'dead') AS gone, count(*) FILTER (state <> 'dead') AS refs FROM v GROUP BY id)
+SELECT r.id, CASE WHEN gone THEN coalesce(deleted_at, {_NOW}) WHEN live THEN NULL ELSE deleted_at END AS deleted_at, refs FROM records r JOIN w USING (id)""",
     "skip_unchanged": f"{_R} SELECT id, ref FROM records WHERE id % 4 = 0 OR id % 6 = 1",
     "merge_upsert": f"""{_R}, new AS (SELECT id, 'new' AS title, CASE WHEN id % 20 = 3 THEN 'memories/' || (id + 1)::VARCHAR || '.md' WHEN id % 40 = 13 THEN 'memories/' || (id - 9)::VARCHAR || '.md' ELSE path END AS path, 1 AS turn FROM records WHERE id % 10 = 3
   UNION ALL SELECT id, 'newer', path, 2 FROM records WHERE id % 30 = 3),
