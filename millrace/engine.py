@@ -1,4 +1,4 @@
-"""One object over a store of records and chunks: search, point reads, skills, upserts, reports."""
+"""One object over a store of records and chunks: search, point reads, skills, writes, applies, claims, reports."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .model import SearchOptions
-from .operators import fusion, hygiene, models, state
-from .streaming.ingest import RECORDS, Store, taken_in
+from .operators import applies, fusion, hygiene, ingest, models, state
+from .operators.textindex import TextIndex
+from .session import cut
+from .streaming.ingest import HASHES, RECORDS, Store, taken_in
+from .streaming.ledger import Ledger
 
 CHUNKS = "chunk_id string, id string, chunk_index int, text string, embedding array<double>"
 STATE = "id string, body_hash string, signature string"
+INDEXED = "id string, hash string"
+HYDE = "query_hash string, judge string, hypothesis string"
+QUEUE = "id string, enqueued_at timestamp, retries int, last_error string, failed boolean, claimed_at timestamp, claimed_by string"
 #: Tables whose rows go with their record.
 CHILDREN = {"chunks": CHUNKS, "embed_state": STATE}
 LOG = "id long, ts timestamp, kind string, query string, client string, memory_id string, rank int, score double"
@@ -24,6 +30,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] = models.hashed_vectors, signature: str = "hashed-64"):
         self.spark, self.store, self.embed, self.signature = spark, Store(spark, root), embed, signature
+        self.locks = Ledger(spark, f"{root.rstrip('/')}/locks")
+        self.index = TextIndex(spark, f"{root.rstrip('/')}/index")
 
     def records(self) -> DataFrame:
         return self.store.read("records", RECORDS)
@@ -37,7 +45,7 @@ class Engine:
         self.refresh(version)
 
     def refresh(self, version: int) -> None:
-        """Chunk and embed records without vectors, or whose body or embedder changed."""
+        """Bring chunks, vectors and the keyword index up to the records: what is new, changed or gone."""
         known = self.store.read("embed_state", STATE)
         hashes = self.records().select("id", text.raw_hash(F.col("body")).alias("body_hash"))
         stale = state.needs_embedding(hashes, known, self.signature).where("needed").select("id")
@@ -46,14 +54,37 @@ class Engine:
         kept = self.chunks().join(stale, "id", "left_anti").join(hashes.select("id"), "id", "left_semi")
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
         after = hashes.withColumn("signature", F.lit(self.signature))
-        self.store.write(version, chunks=kept.select(*columns).unionByName(fresh.select(*columns)), embed_state=after)
-
-    def search(self, queries: DataFrame, now: Column, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """queries (query_id long, query) to hits with the records' titles, snippets and paths."""
-        vectors = self.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
-        hits = fusion.search(self.records(), self.chunks(), queries.join(vectors, "query_id", "left"), now, options)
+        # Indexed is what a search finds: title, body and tags. The index goes first, so a failure between repeats it.
+        indexed = self.store.read("indexed", INDEXED)
+        said = self.records().select("id", text.raw_hash(F.concat_ws("\n", "title", "body", F.array_join("tags", " "))).alias("hash"))
+        changed = cut(said.join(indexed, ["id", "hash"], "left_anti").select("id"))
+        gone = cut(indexed.join(said, "id", "left_anti").select("id"))
+        if changed.limit(1).count():
+            self.index.upsert(self.records().join(changed, "id", "left_semi").select("id", "title", "body", "tags"))
+        if gone.limit(1).count():
+            self.index.delete(gone)
+        self.store.write(version, chunks=kept.select(*columns).unionByName(fresh.select(*columns)), embed_state=after, indexed=said)
+
+    def search(self, queries: DataFrame, now: Column, options: SearchOptions = SearchOptions(), expand: Callable[[DataFrame], DataFrame] | None = None, judge: str = "model") -> DataFrame:
+        """queries (query_id long, query) to hits with the records' titles, snippets and paths.
+
+        expand: a model that turns questions into passages that could answer them
+        (see `models.expanded`), kept in the store's cache; vectors are then those
+        of the passages. If vectors cannot be had, hits are those by keyword, and
+        `degraded` says why.
+        """
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
+        passages = asked.withColumn("passage", F.col("query"))
+        if expand is not None:
+            cache = self.store.read("hyde_cache", HYDE)
+            passages, after = models.expanded(asked, cache, judge, expand)
+            passages = cut(passages)
+            self.store.change(0, lambda read: {"hyde_cache": after.unionByName(read("hyde_cache", HYDE)).dropDuplicates(["query_hash", "judge"])})
+        vectors, failed = models.vectors_or_none(passages, self.embed)
+        keyword = self.index.search(asked, self.records(), options.candidates, options.types)
+        hits = fusion.search(self.records(), self.chunks(), asked.join(vectors, "query_id", "left"), now, options, keyword)
         shown = self.records().select("id", "title", "type", "path", text.snippet(F.col("body")).alias("snippet"))
-        return hits.join(shown, "id").select("query_id", "final_rank", "id", "title", "type", "path", "snippet", "score", "bm25_rank", "vec_rank")
+        return hits.join(shown, "id").select("query_id", "final_rank", "id", "title", "type", "path", "snippet", "score", "bm25_rank", "vec_rank", F.lit(failed).cast("string").alias("degraded"))
 
     def exposures(self, hits: DataFrame, queries: DataFrame, client: str, now: Column, first_id: int) -> DataFrame:
         """Log rows of the hits of searches, to be appended."""
@@ -80,6 +111,64 @@ class Engine:
     def skill(self, name: str) -> DataFrame:
         return self.skills().where(F.col("title") == name).orderBy("path").limit(1)
 
+    def write(self, record: DataFrame, version: int, now: Column) -> None:
+        """Upsert records by an API: raw headers (id, type, title, ... as strings), body and path, coerced first.
+
+        Paths into reserved folders are an error. A record keeps what it has of
+        lifecycle and importance, unless the header gives it.
+        """
+        rows = record.withColumn("path", F.when(ingest.is_reserved(F.col("path")), F.raise_error(F.concat(F.lit("reserved path: "), F.col("path"))).cast("string")).otherwise(F.col("path")))
+        rows = cut(ingest.coerced(rows, now))
+
+        def written(read: Callable[[str, str], DataFrame]) -> dict[str, DataFrame]:
+            records, kept = read("records", RECORDS), read("hashes", HASHES)
+            new = ingest.with_header(rows.withColumn("ttl_days", F.lit(None).cast("int")), records, now)
+            new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(records.schema[c].dataType).alias(c) for c in records.columns])
+            after = ingest.upserted(records, new)
+            gone = records.select("id").join(after.select("id"), "id", "left_anti")
+            owned = new.groupBy(text.normalized_hash(F.col("body")).alias("hash")).agg(F.min("id").alias("id"), F.lit(1).cast("long").alias("seen_count"))
+            hashes = kept.join(new.select("id"), "id", "left_anti").join(gone, "id", "left_anti").join(owned.select("hash"), "hash", "left_anti").select(*kept.columns).unionByName(owned)
+            return {"records": after, "hashes": hashes} | ingest.cascaded({name: read(name, schema) for name, schema in CHILDREN.items()}, gone)
+
+        self.store.change(version, written)
+        self.refresh(version)
+
+    def apply_manifest(self, manifest: DataFrame, header: dict, now: Column, version: int, dry_run: bool = False) -> DataFrame:
+        """The report of a manifest (see `applies.manifest_status`); records and change log are written at once, or not at all."""
+        if errors := applies.header_errors(header.get("version"), header.get("rules")):
+            raise ValueError("; ".join(errors))
+        reports: list[DataFrame] = []
+
+        def changed(read: Callable[[str, str], DataFrame]) -> dict[str, DataFrame] | None:
+            out = applies.manifest_applied(manifest, read("records", RECORDS), now, dry_run)
+            reports.append(cut(out["report"]))
+            return None if dry_run else {"records": out["records"], "audit": read("audit", applies.AUDIT).unionByName(out["audit"])}
+
+        self.store.change(version, changed)
+        return reports[-1]
+
+    def claim(self, limit: int, claimant: str, now: Column, version: int) -> DataFrame:
+        """Queue rows that now belong to the claimant, and to no one else: claims are compared and swapped."""
+        self.store.change(version, lambda read: {"queue": state.claimed(read("queue", QUEUE), limit, claimant, now)})
+        return self.store.read("queue", QUEUE).where(F.col("claimed_by") == claimant)
+
+    def enqueue(self, ids: DataFrame, now: Column, version: int) -> None:
+        self.store.change(version, lambda read: {"queue": state.enqueued(read("queue", QUEUE), ids, now)})
+
+    def lock(self, stage: str, owner: str, now: float) -> bool:
+        """Take a stage's lock, if it is free or was taken more than `state.STALE_LOCK_SECONDS` ago."""
+
+        def taken(locks: dict) -> dict | None:
+            held = locks.get(stage)
+            if held and now - held["at"] <= state.STALE_LOCK_SECONDS:
+                return None
+            return locks | {stage: {"owner": owner, "at": now}}
+
+        return self.locks.update(taken).get(stage) == {"owner": owner, "at": now}
+
+    def unlock(self, stage: str, owner: str) -> None:
+        self.locks.update(lambda locks: {k: v for k, v in locks.items() if k != stage} if locks.get(stage, {}).get("owner") == owner else None)
+
     def verify(self) -> DataFrame:
         """One row: records, deprecated, deleted, groups of equal bodies."""
         rows = self.records()

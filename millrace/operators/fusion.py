@@ -125,13 +125,15 @@ def mmr(candidates: DataFrame, lambda_: float = 0.7, k: int = 10) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(pick, f"query_id long, id {kind}, mmr_rank int")
 
 
-def search(records: DataFrame, chunks: DataFrame, queries: DataFrame, now: Column, options: SearchOptions = SearchOptions()) -> DataFrame:
+def search(records: DataFrame, chunks: DataFrame, queries: DataFrame, now: Column, options: SearchOptions = SearchOptions(), keyword: DataFrame | None = None) -> DataFrame:
     """Hybrid search of many queries at once.
 
     queries has query_id (long), query and embedding (null: keywords only, and
-    then no diversification). Reranking comes before diversification.
+    then no diversification). keyword: hits of a stored index (query_id, id, score,
+    rank), else the records are indexed anew. Reranking comes before diversification.
     """
-    keyword = lexical.search(records, queries, options.candidates, options.types)
+    if keyword is None:
+        keyword = lexical.search(records, queries, options.candidates, options.types)
     near = vector.knn_typed(chunks, records, queries, options.candidates, options.types) if options.types else vector.knn(chunks, queries, options.candidates)
     hits = rescored(rrf(keyword, near, options.rrf_k, options.bm25_weight, options.vector_weight), records, now, options)
     if options.rerank_top_n > 0:

@@ -128,9 +128,15 @@ def deprecate_losers(records: DataFrame, won: DataFrame) -> DataFrame:
     return out.withColumn("deprecated_by", F.when(apply, F.col("winner_id").cast("string")).otherwise(F.col("deprecated_by").cast("string"))).drop("winner_id")
 
 
+def noise_plan(records: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """The decisions on records that are neither deprecated nor expired: only these are searched for noise afterwards."""
+    active = records.where(F.col("deprecated_by").isNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > now)))
+    return decisions.join(active.select("id"), "id", "left_semi")
+
+
 def expire_noise(records: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     """records with valid_to set for noise: now for what would be dropped, after its time to live for the transient."""
-    ends = decisions.where("action != 'keep'").select("id", (now + F.make_dt_interval(F.coalesce("ttl_days", F.lit(0)))).alias("_end"))
+    ends = noise_plan(records, decisions, now).where("action != 'keep'").select("id", (now + F.make_dt_interval(F.coalesce("ttl_days", F.lit(0)))).alias("_end"))
     out = records.join(ends, "id", "left")
     return out.withColumn("valid_to", F.coalesce("_end", "valid_to")).drop("_end")
 

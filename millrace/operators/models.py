@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut
 from . import state
 
 
@@ -57,3 +59,32 @@ def chunk_rows(records: DataFrame, most: int = 2048) -> DataFrame:
     """(chunk_id, id, chunk_index, text) of records."""
     each = records.select("id", F.posexplode(text.chunks(F.col("body"), most)).alias("chunk_index", "text"))
     return each.select(F.concat_ws(":", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "id", "chunk_index", "text")
+
+
+def expanded(queries: DataFrame, cache: DataFrame, judge: str, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(queries with `passage`, cache after): hypothetical answers to look for instead of the questions.
+
+    queries: query_id, query; cache: query_hash, judge, hypothesis. `answer` turns
+    distinct misses (query_hash, query) into (query_hash, hypothesis) and is asked
+    once for each. Look-ups are not expanded (`text.expands`), and where the model
+    fails or says nothing, the passage is the query; empty answers are not cached.
+    """
+    rows = queries.select("query_id", "query", text.raw_hash(F.trim("query")).alias("query_hash"), text.expands(F.col("query")).alias("expands"))
+    known = cache.where(F.col("judge") == judge).select("query_hash", "hypothesis")
+    misses = rows.where("expands").join(known, "query_hash", "left_anti").groupBy("query_hash").agg(F.min("query").alias("query"))
+    try:
+        fresh = cut(answer(cut(misses)).select("query_hash", "hypothesis").where("coalesce(hypothesis, '') <> ''").dropDuplicates(["query_hash"]))
+    except Exception as error:  # noqa: BLE001  whatever a model raises, the search goes on
+        warnings.warn(f"no expansion: {error}", stacklevel=2)
+        fresh = known.limit(0)
+    answers = known.unionByName(fresh)
+    out = rows.join(answers, "query_hash", "left").select("query_id", "query", F.when(F.col("expands"), F.coalesce("hypothesis", "query")).otherwise(F.col("query")).alias("passage"))
+    return out, cache.unionByName(fresh.withColumn("judge", F.lit(judge)).select(*cache.columns))
+
+
+def vectors_or_none(rows: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str | None]:
+    """(query_id, embedding) of rows (query_id, passage), and why there is none if the model fails: search by keywords is left."""
+    try:
+        return cut(embed(rows.select(F.col("query_id").alias("chunk_id"), F.col("passage").alias("text"))).select(F.col("chunk_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))), None
+    except Exception as error:  # noqa: BLE001
+        return rows.select("query_id", F.lit(None).cast("array<double>").alias("embedding")), f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"

@@ -97,7 +97,7 @@ def verify_report(spark: SparkSession, d: str) -> DataFrame:
     status = hygiene.session_status(talks, hygiene.linked_sessions(rows), talks.where("false"), b.now(), None, 4, 100)
     ticket = F.when(i % 43 == 0, F.concat(F.lit("skills/_review/"), i.cast("string"), F.lit(".md"))).when(i % 43 == 1, F.concat(F.lit("skills/_review/done/"), i.cast("string"), F.lit(".md")))
     paths = rows.select(F.coalesce(ticket, F.col("path")).alias("rel"))
-    return hygiene.verification(rows, status, noise_decisions(spark, d), paths, invalid_records(spark, d).select(i.alias("ref")))
+    return hygiene.verification(rows, status, hygiene.noise_plan(b.records(spark, d), noise_decisions(spark, d), b.now()), paths, invalid_records(spark, d).select(i.alias("ref")))
 
 
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +363,7 @@ SELECT gk AS group_key, w.winner_id, g.size, list_filter([CASE WHEN len(types) >
   CASE WHEN dep THEN 'contains a deprecated record' END, CASE WHEN coin_flip THEN 'coin flip' END], lambda x: x IS NOT NULL) AS reasons FROM g JOIN ranked w ON w.k = gk AND w.n = 1""",
     "noise_decisions": f"{_R}, {_NOISE} SELECT * FROM noise",
     "noise_summary": f"{_R}, {_NOISE} SELECT action, kind, count(*) AS records FROM noise GROUP BY action, kind",
-    "noise_expiry": f"{_R}, {_NOISE} SELECT r.id, CASE WHEN action <> 'keep' THEN {_NOW} + to_days(coalesce(ttl_days, 0)::INT) ELSE valid_to END AS valid_to FROM records r JOIN noise USING (id)",
+    "noise_expiry": f"{_R}, {_NOISE} SELECT r.id, CASE WHEN action <> 'keep' AND deprecated_by IS NULL AND (valid_to IS NULL OR valid_to > {_NOW}) THEN {_NOW} + to_days(coalesce(ttl_days, 0)::INT) ELSE valid_to END AS valid_to FROM records r JOIN noise USING (id)",
     "importance_seed": f"""{_R} SELECT id, round(least(1.0::DOUBLE, greatest(0.1::DOUBLE, {_SEED_CASE} + 0.3::DOUBLE * ((1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (epoch_us({_NOW}) - epoch_us(created))::DOUBLE / 86400000000.0::DOUBLE / 90.0::DOUBLE))) - 0.5::DOUBLE)
   - CASE WHEN length(body) < 100 THEN 0.1::DOUBLE ELSE 0 END)), 8) AS seed FROM records""",
     "importance_bumps": f"""{_R}, {b.EXPOSURES_SQL}, w AS (SELECT memory_id, sum(CASE WHEN kind = 'get' THEN 0.05::DOUBLE WHEN kind = 'search' AND rank >= 1 THEN 0.01::DOUBLE / rank ELSE 0 END * CASE WHEN (epoch_us({_NOW}) - epoch_us(ts))::DOUBLE / 86400000000.0 <= 30 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS raw,
@@ -377,7 +377,7 @@ FROM w JOIN records ON id = memory_id WHERE deprecated_by IS NULL AND (valid_to
 done AS (SELECT DISTINCT (id % 40)::VARCHAR AS id FROM records WHERE type = 'distillation')
 SELECT (SELECT count(*) FROM records) AS records, (SELECT count(deprecated_by) FROM records) AS deprecated, (SELECT count(valid_to) FROM records) AS expiring, (SELECT count(deleted_at) FROM records) AS deleted, (SELECT count(*) FROM g) AS collision_groups,
   coalesce((SELECT sum(n) FROM g), 0)::BIGINT AS collision_records, (SELECT count(*) FROM g WHERE skilled) AS skill_groups, coalesce((SELECT sum(n - 1) FROM g WHERE NOT skilled), 0)::BIGINT AS to_deprecate,
-  (SELECT count(*) FROM noise WHERE action = 'drop') AS noise_drop, (SELECT count(*) FROM noise WHERE action = 'tag_transient') AS noise_transient, (SELECT count(*) FROM done) AS covered_sessions,
+  (SELECT count(*) FROM noise JOIN records r USING (id) WHERE action = 'drop' AND r.deprecated_by IS NULL AND (r.valid_to IS NULL OR r.valid_to > {_NOW})) AS noise_drop, (SELECT count(*) FROM noise JOIN records r USING (id) WHERE action = 'tag_transient' AND r.deprecated_by IS NULL AND (r.valid_to IS NULL OR r.valid_to > {_NOW})) AS noise_transient, (SELECT count(*) FROM done) AS covered_sessions,
   (SELECT count(*) FROM counted WHERE turns >= 4 AND words >= 100 AND id::VARCHAR NOT IN (SELECT id FROM done)) AS eligible_sessions,
   (SELECT count(*) FROM records WHERE id % 43 = 0) AS open_tickets, (SELECT count(*) FROM p WHERE problems <> '') AS parse_skips""",
     "distill_plan": f"{_STATUS} SELECT id, 'sessions/' || id::VARCHAR || '.md' AS path FROM status WHERE status = 'candidate' ORDER BY path, id LIMIT 50",

@@ -32,8 +32,12 @@ def files(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
 
 
 def lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    return lines_of(files(spark, root, glob))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
     """(path, rel, modified, line_no, value): the files' lines in order, which `spark.read.text` does not tell."""
-    rows = files(spark, root, glob).withColumn("value", F.decode("content", "UTF-8"))
+    rows = rows.withColumn("value", F.decode("content", "UTF-8"))
     return rows.select("path", "rel", "modified", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 
 
