@@ -110,16 +110,16 @@ def truncated_middle(text: Column, most: int) -> Column:
     tail = most // 4
     cut = F.concat(
         F.substring(text, 1, most - tail),
-        F.lit("\n\n[…"),
+        F.lit("\n\n[… "),
         _with_commas(F.char_length(text) - most),
-        F.lit(" chars elided from the middle; session tail follows…]\n\n"),
+        F.lit(" characters left out here …]\n\n"),
         F.right(text, F.lit(tail)),
     )
     return F.when(F.char_length(text) <= most, text).otherwise(cut)
 
 
 def truncated_head(text: Column, most: int) -> Column:
-    cut = F.concat(F.substring(text, 1, most), F.lit("\n\n[…input continues for "), _with_commas(F.char_length(text) - most), F.lit(" more chars]"))
+    cut = F.concat(F.substring(text, 1, most), F.lit("\n\n[… "), _with_commas(F.char_length(text) - most), F.lit(" more characters]"))
     return F.when(F.char_length(text) <= most, text).otherwise(cut)
 
 

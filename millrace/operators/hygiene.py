@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import NEUTRAL_IMPORTANCE
+from ..session import cut
 
 # Fixed values.
 LOW_RISK_TYPES = ("memory", "session", "daily", "person", "decision")
@@ -292,12 +295,72 @@ def latest_distillations(records: DataFrame) -> DataFrame:
     return links.groupBy("session_id").agg(F.max_by("id", F.struct("path", "id")).alias("id"))
 
 
-def session_prompt(title: Column, body: Column, most: int = 32_000) -> Column:
-    return F.concat(F.lit("Summarise the work session below: goal, decisions, results, and where it ended.\n\nTitle: "), F.coalesce(title, F.lit("(untitled)")), F.lit("\n\n"), text.truncated_middle(body, most))
+#: Characters of a project's prompt, and sections that can be needed to fill it: each is longer than 24.
+PROJECT_CHARS, PROJECT_SECTIONS = 12_000, 500
+
+
+def project_prompts(sessions: DataFrame, distillations: DataFrame, least: int = MIN_SESSIONS, most: int = PROJECT_CHARS) -> DataFrame:
+    """(tag, prompt, sessions, created, updated) of projects with enough sessions.
+
+    sessions: id, title, body, tags, created, updated; distillations: session_id, id,
+    title, body, updated. Sections stand in the order of the sessions' updates, the
+    distillation of a session in its place. Only the sections that can be in the
+    prompt are put together, whatever the size of the project.
+    """
+    found = distillations.select(F.col("session_id").alias("id"), F.col("title").alias("_title"), F.col("body").alias("_body"), F.col("updated").alias("_updated"))
+    rows = _tagged(sessions).join(found, "id", "left")
+    told = F.col("_body").isNotNull()
+    part = lambda a, b: F.when(told, F.col(a)).otherwise(F.col(b))
+    section = F.concat(F.lit("### ["), F.when(told, "distillation").otherwise("session"), F.lit("] "), F.date_format(part("_updated", "updated"), "yyyy-MM-dd"), F.lit(" — "), F.coalesce(part("_title", "title"), F.lit("(untitled)")), F.lit("\n\n"), F.coalesce(part("_body", "body"), F.lit("")))
+    rows = rows.select("tag", "id", "created", "updated", told.alias("told"), section.alias("section"))
+    whole = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("told").alias("told"), F.sum(F.char_length("section") + 2).alias("chars"), F.min("created").alias("created"), F.max("updated").alias("updated")).where(F.col("sessions") >= least)
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("updated", "id"))
+    first = rows.withColumn("place", place).where(F.col("place") <= PROJECT_SECTIONS).groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("place", F.substring("section", 1, most).alias("section"), F.char_length("section").alias("n")))).alias("s"))
+    text_ = F.array_join(F.transform("s", lambda x: x["section"]), "\n\n")
+    # A section that was cut is longer than all there is room for, so the head is right either way.
+    rest = F.col("chars") - 2 - most
+    sources = F.when(rest <= 0, text_).otherwise(F.concat(F.substring(text_, 1, most), F.lit("\n\n[… "), F.format_number(rest, 0), F.lit(" more characters]")))
+    raw = F.col("sessions") - F.col("told")
+    kind = F.concat_ws(", ", F.when(F.col("told") > 0, F.concat(F.col("told").cast("string"), F.lit(" distilled"))), F.when(raw > 0, F.concat(raw.cast("string"), F.lit(" as they were"))))
+    prompt = F.concat(F.lit("Write a current record of the project below from its sessions, oldest first.\n\nProject: "), F.col("tag"), F.lit("\nSessions: "), kind, F.lit("\n\n"), sources)
+    return whole.join(first, "tag").select("tag", prompt.alias("prompt"), "sessions", "created", "updated")
+
+
+def project_links(sessions: DataFrame, distillations: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag, target): each project's sessions, and their distillations once; rows, so that a large project is no one value."""
+    members = _tagged(sessions).join(tags.select("tag"), "tag", "left_semi").select("tag", "id")
+    told = members.join(distillations.select(F.col("session_id").alias("id"), F.col("id").alias("_d")), "id").select("tag", F.concat(F.lit("memory://memories/distillations/"), F.col("_d").cast("string")).alias("target")).distinct()
+    return members.select("tag", F.concat(F.lit("memory://sessions/"), F.col("id").cast("string")).alias("target")).unionByName(told)
+
+
+def project_records(sessions: DataFrame, distillations: DataFrame, existing: DataFrame, cache: DataFrame, model: str, answer: Callable[[DataFrame], DataFrame], now: Column, force: bool = False, least: int = MIN_SESSIONS) -> dict[str, DataFrame]:
+    """Upkeep of the records of projects: records (id, tag, title, body, path, manual, created, updated, status), links, cache.
+
+    existing: id, tag, title, body, created, manual; cache: content_hash, model,
+    output. The hash of a project's prompt, which is all its inputs, is the key of
+    the cache, so a project that did not change asks no model; `answer` turns
+    (content_hash, prompt) into (content_hash, output). A manual record keeps its
+    body and asks nothing, unless forced; its links and update are renewed.
+    status: written, updated, links_only, or skipped where the model said nothing.
+    """
+    known = existing.select("tag", F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("created").alias("_created"), F.coalesce("manual", F.lit(False)).alias("_manual"))
+    rows = project_prompts(sessions, distillations, least).withColumn("content_hash", text.raw_hash(F.col("prompt"))).join(known, "tag", "left")
+    manual = F.coalesce("_manual", F.lit(False)) & F.lit(not force)
+    rows = cut(rows.withColumn("manual", manual))
+    held = cache.where(F.col("model") == model).select("content_hash", "output")
+    misses = rows.where("not manual").select("content_hash", "prompt").join(held, "content_hash", "left_anti")
+    fresh = cut(answer(misses).select("content_hash", "output").where("coalesce(output, '') <> ''"))
+    out = rows.join(held.unionByName(fresh), "content_hash", "left")
+    body = F.when(F.col("manual"), F.col("_body")).otherwise(F.col("output"))
+    status = F.when(F.col("manual"), "links_only").when(F.coalesce("output", F.lit("")) == "", "skipped").when(F.col("_id").isNotNull(), "updated").otherwise("written")
+    made = F.concat(F.lit("p-"), F.substring(F.sha2(F.concat(F.lit("project:"), F.col("tag")), 256), 1, 32))
+    records = out.select(F.coalesce(F.col("_id").cast("string"), made).alias("id"), "tag", F.coalesce(text.leading_title(body), F.col("tag")).alias("title"), body.alias("body"), F.concat(F.lit("memories/projects/"), F.col("tag"), F.lit(".md")).alias("path"), "manual", F.coalesce("_created", "created").alias("created"), now.alias("updated"), status.alias("status"))
+    kept = records.where("status <> 'skipped'").select("tag")
+    return {"records": records, "links": project_links(sessions, distillations, kept), "cache": cache.unionByName(fresh.withColumn("model", F.lit(model)).select(*cache.columns))}
 
 
-def project_prompt(tag: Column, parts: Column, most: int = 12_000) -> Column:
-    return F.concat(F.lit("Write a current record of the project below from its sessions, oldest first.\n\nProject: "), tag, F.lit("\n\n"), text.truncated_head(F.array_join(parts, "\n\n"), most))
+def session_prompt(title: Column, body: Column, most: int = 32_000) -> Column:
+    return F.concat(F.lit("Summarise the work session below: goal, decisions, results, and where it ended.\n\nTitle: "), F.coalesce(title, F.lit("(untitled)")), F.lit("\n\n"), text.truncated_middle(body, most))
 
 
 def extractive_summary(body: Column, sentences: int = 3) -> Column:

@@ -237,6 +237,25 @@ def drift_check(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.array_join("mismatches", ",").alias("mismatches"))
 
 
+def _distilled(spark: SparkSession, d: str) -> DataFrame:
+    """Distillations of every third session."""
+    rows = b.sessions(spark, d).where("id % 3 = 0")
+    return rows.select(F.col("id").alias("session_id"), (F.col("id") + 100_000).alias("id"), F.concat(F.lit("Distilled "), F.col("id").cast("string")).alias("title"), F.substring("body", 1, 200).alias("body"), "updated")
+
+
+def project_records(spark: SparkSession, d: str) -> DataFrame:
+    """Two projects have records, one of them manual; the model's answers to some are in the cache."""
+    sessions = b.sessions(spark, d)
+    tags = sessions.select(F.col("tags")[1].alias("tag")).distinct()
+    existing = tags.where("tag in ('home-1', 'home-2')").select(F.concat(F.lit("old-"), "tag").alias("id"), "tag", F.lit("t").alias("title"), F.concat(F.lit("# Mine\n\n"), "tag").alias("body"), F.lit("2023-01-01").cast("timestamp").alias("created"), (F.col("tag") == "home-1").alias("manual"))
+    said = lambda rows, word: rows.select("content_hash", F.concat(F.lit(f"# {word} "), F.substring(F.md5("prompt"), 1, 8), F.lit("\n\nbody")).alias("output"))
+    prompts = hygiene.project_prompts(sessions, _distilled(spark, d)).withColumn("content_hash", text.raw_hash(F.col("prompt")))
+    cache = said(prompts.where("tag in ('home-3', 'home-1')"), "Known").withColumn("model", F.lit("m"))
+    out = hygiene.project_records(sessions, _distilled(spark, d), existing, cache, "m", lambda misses: said(misses.where(F.col("prompt").contains("home-4") == F.lit(False)), "New"), b.now())
+    links = out["links"].groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
+    return out["records"].join(links, "tag", "left").select("tag", "title", "body", "path", "manual", "created", "status", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     """A manifest of the groups of equal bodies, as of before some records changed, moved or were deprecated."""
     rows = hygiene.hashed(b.records(spark, d).withColumn("deprecated_by", F.lit(None)))
@@ -305,7 +324,7 @@ QUERIES = {
     for f in (
         body_hash, dedup_groups, dedup_winners, dedup_ingest_first, dedup_apply, audit_classes, audit_summary, phase1_select, noise_decisions, noise_summary, noise_expiry,
         importance_seed, importance_bumps, query_log_prune, retrieval_counts, type_counts, verify_report, topic_clusters, daily_week_clusters, undistilled_clusters,
-        session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_candidates, project_members, wikilinks, image_refs, chunks, snippets, prefix_truncate,
+        session_transcripts, session_candidates, distill_plan, session_scan_stats, session_distillations, project_records, project_candidates, project_members, wikilinks, image_refs, chunks, snippets, prefix_truncate,
         titles, parse_scores, manifest_status, manifest_apply, manifest_report, retro_apply, vault_paths, coerce_records, invalid_records, drift_check, distill_retries, latest_distillations, skills_list, get_record,
     )
 }
@@ -391,12 +410,22 @@ SELECT cluster_id, count(*) AS size FROM members m LEFT JOIN covered c USING (id
     "session_candidates": f"{_STATUS} SELECT id, turns, words FROM status WHERE status = 'candidate'",
     "session_scan_stats": f"{_STATUS} SELECT status, count(*) AS sessions FROM status GROUP BY status",
     "project_candidates": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, count(*) AS sessions, min(created) AS created, max(updated) AS updated FROM sessions GROUP BY 1 HAVING count(*) >= 2",
+    "project_records": f"""WITH {b.SESSIONS_SQL},
+said AS (SELECT *, tags[2] AS tag, id % 3 = 0 AS told FROM sessions),
+sections AS (SELECT *, '### [' || CASE WHEN told THEN 'distillation' ELSE 'session' END || '] ' || strftime(updated, '%Y-%m-%d') || ' — ' || CASE WHEN told THEN 'Distilled ' || id::VARCHAR ELSE title END || chr(10) || chr(10) || CASE WHEN told THEN substr(body, 1, 200) ELSE body END AS section FROM said),
+whole AS (SELECT tag, count(*) AS n, count(*) FILTER (told) AS told, string_agg(section, chr(10) || chr(10) ORDER BY updated, id) AS src, min(created) AS created FROM sections GROUP BY tag HAVING count(*) >= 2),
+asked AS (SELECT *, 'Write a current record of the project below from its sessions, oldest first.' || chr(10) || chr(10) || 'Project: ' || tag || chr(10) || 'Sessions: ' || concat_ws(', ', CASE WHEN told > 0 THEN told::VARCHAR || ' distilled' END, CASE WHEN n > told THEN (n - told)::VARCHAR || ' as they were' END) || chr(10) || chr(10)
+  || CASE WHEN length(src) <= 12000 THEN src ELSE substr(src, 1, 12000) || chr(10) || chr(10) || '[… ' || format('{{:,}}', length(src) - 12000) || ' more characters]' END AS prompt FROM whole),
+answered AS (SELECT *, CASE WHEN tag = 'home-3' THEN '# Known ' || substr(md5(prompt), 1, 8) WHEN NOT contains(prompt, 'home-4') THEN '# New ' || substr(md5(prompt), 1, 8) END AS head FROM asked)
+SELECT tag, CASE WHEN tag = 'home-1' THEN 'Mine' ELSE coalesce(substr(head, 3), tag) END AS title, CASE WHEN tag = 'home-1' THEN '# Mine' || chr(10) || chr(10) || tag ELSE head || chr(10) || chr(10) || 'body' END AS body, 'memories/projects/' || tag || '.md' AS path, tag = 'home-1' AS manual,
+  CASE WHEN tag IN ('home-1', 'home-2') THEN TIMESTAMP '2023-01-01 00:00:00' ELSE created END AS created, CASE WHEN tag = 'home-1' THEN 'links_only' WHEN head IS NULL THEN 'skipped' WHEN tag = 'home-2' THEN 'updated' ELSE 'written' END AS status,
+  CASE WHEN tag <> 'home-1' AND head IS NULL THEN 0 ELSE n + told END AS links FROM answered""",
     "project_members": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, id, updated FROM sessions QUALIFY count(*) OVER (PARTITION BY tags[2]) >= 2",
     "wikilinks": f"{_R}, {b.LINKED_SQL} SELECT DISTINCT id, unnest(list_concat(['doc-0'], list_transform(regexp_extract_all(body, '\\[\\[([^\\]\\n]+)\\]\\]', 1), lambda x: trim(x)))) AS target FROM linked",
     "image_refs": f"{_R}, {b.LINKED_SQL} SELECT id, t.place::INT AS place, t.ref FROM linked, (VALUES (0, 'img/a.png'), (1, 'b.jpg')) t(place, ref) WHERE id % 12 = 0",
     "snippets": f"{_R}, {b.LINKED_SQL}, flat AS (SELECT id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS f FROM linked) SELECT id, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 240)) || '…' ELSE f END AS snippet FROM flat",
-    "prefix_truncate": f"""{_R} SELECT id, md5(CASE WHEN length(body) <= 2000 THEN body ELSE substr(body, 1, 1500) || chr(10) || chr(10) || '[…' || format('{{:,}}', length(body) - 2000) || ' chars elided from the middle; session tail follows…]' || chr(10) || chr(10) || right(body, 500) END) AS middle,
-  md5(CASE WHEN length(body) <= 1000 THEN body ELSE substr(body, 1, 1000) || chr(10) || chr(10) || '[…input continues for ' || format('{{:,}}', length(body) - 1000) || ' more chars]' END) AS head FROM records""",
+    "prefix_truncate": f"""{_R} SELECT id, md5(CASE WHEN length(body) <= 2000 THEN body ELSE substr(body, 1, 1500) || chr(10) || chr(10) || '[… ' || format('{{:,}}', length(body) - 2000) || ' characters left out here …]' || chr(10) || chr(10) || right(body, 500) END) AS middle,
+  md5(CASE WHEN length(body) <= 1000 THEN body ELSE substr(body, 1, 1000) || chr(10) || chr(10) || '[… ' || format('{{:,}}', length(body) - 1000) || ' more characters]' END) AS head FROM records""",
     "titles": f"""{_R} SELECT id, CASE WHEN id % 3 = 0 THEN 'Note ' || id::VARCHAR WHEN id % 3 = 1 THEN 'Late' END AS h1, CASE WHEN id % 3 = 0 THEN 'Note ' || id::VARCHAR END AS leading, nullif(trim(regexp_replace(lower(' ' || title || '  X'), '\\s+', ' ', 'g')), '') AS normal FROM records""",
     "parse_scores": "SELECT event_id, round(CASE WHEN event_id % 5 = 3 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, floor(value)::DOUBLE / 100.0::DOUBLE)) END, 8) AS score FROM events",
     "vault_paths": f"""{_R}, p AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'a' || (id % 4)::VARCHAR END AS agent, lower(replace(coalesce(nullif(title, ''), id::VARCHAR), ' ', '-'))[1:64] AS slug FROM records)
