@@ -70,7 +70,9 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    sized = written(sized.withColumn("order_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
+    # Rows without an id, or of one id, are told apart by their sizes, so they are not one run.
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    sized = written(sized.withColumn("order_key", F.md5(key)), "sizes")
     targets = written(source_targets(sized, weights, cap), "targets")
 
     rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.rank", "t.n_docs", "t.source_size", "t.target")
@@ -119,7 +121,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS order_key
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::VARCHAR) AS order_key
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank

@@ -11,7 +11,8 @@ between the two models is high enough.
 
 Spark finds all matches of a pattern but not their places; cutting the text at
 the same matches gives the pieces between, and running sums of lengths the places.
-Nothing is quadratic in a text's matches; a text with matches is held a few times
+Spans are gathered in linear time; redaction looks at each gap once for every 32
+blocks of 4,096 characters and again in its own. A text with matches is held a few times
 over by its task, so the longest text must be a small share of a task's memory.
 """
 
@@ -210,6 +211,10 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, size: int =
     return rows.withColumn("spans", once(F.array_sort(F.concat("base", markov_spans(F.col("text"), ratios))), merged))
 
 
+#: Blocks of a row, in redaction.
+ROW = 32
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with its spans (sorted by start, perhaps overlapping) replaced by a mark each run.
 
@@ -223,18 +228,25 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     def part(block: Column, low: Column, g: Column) -> Column:
         a, e = F.greatest(g["a"], low), F.least(g["e"], low + BLOCK)
         kept = F.when(e > a, F.substring(block, a - low + 1, e - a)).otherwise("")
-        return F.concat(kept, F.when(g["marked"] & ends(g, low), F.lit(mark)).otherwise(""))
+        return F.concat(kept, F.when(g["marked"] & ends(g, low, BLOCK), F.lit(mark)).otherwise(""))
 
-    def ends(g: Column, low: Column) -> Column:
-        return (g["e"] <= low + BLOCK) & ((g["e"] > low) | (low == 0))
+    def ends(g: Column, low: Column, size: int) -> Column:
+        return (g["e"] <= low + size) & ((g["e"] > low) | (low == 0))
+
+    def meeting(all_gaps: Column, low: Column, size: int) -> Column:
+        return F.filter(all_gaps, lambda g: ((g["a"] < low + size) & (g["e"] > low)) | ends(g, low, size))
 
     def block_of(all_gaps: Column) -> Column:
-        def one(block: Column, i: Column) -> Column:
-            low = i * BLOCK
-            mine = F.filter(all_gaps, lambda g: ((g["a"] < low + BLOCK) & (g["e"] > low)) | ends(g, low))
-            return F.array_join(F.transform(mine, lambda g: part(block, low, g)), "")
+        """Gaps are dealt to rows of blocks first and to blocks then, so no block looks at all of them."""
+
+        def one(block: Column, low: Column, gaps_: Column) -> Column:
+            return F.array_join(F.transform(meeting(gaps_, low, BLOCK), lambda g: part(block, low, g)), "")
 
-        return F.array_join(F.transform(blocks, one), "")
+        rows = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(blocks) - 1) / ROW).cast("int")),
+            lambda r: F.struct((r * ROW * BLOCK).alias("low"), F.slice(blocks, r * ROW + 1, F.lit(ROW)).alias("blocks"), meeting(all_gaps, r * ROW * BLOCK, ROW * BLOCK).alias("gaps")),
+        )
+        return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r["blocks"], lambda block, i: one(block, r["low"] + i * BLOCK, r["gaps"])), "")), "")
 
     return F.when(F.size(spans) > 0, once(gaps, block_of)).otherwise(text)
 
