@@ -139,6 +139,7 @@ def related_by_tag(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_typed, bm25_stemmed, keyword_operators, term_stats, knn_l2_topk, knn_typed, knn_typed_compat, rrf_fuse, rrf_weighted, hybrid_rescored, hybrid_visible, hybrid_search, rerank_lexical, mmr_topk, search_snippets, hyde_gate, fts_sanitize, eval_metrics, related_by_tag)}
 
 _BASE = f"WITH {b.RECORDS_SQL}, {b.QUERIES_SQL}"
+_RECURSIVE = _BASE.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _bm(where: str, k: int) -> str:
@@ -154,12 +155,29 @@ fused0 AS (SELECT query_id, id, bmk.rank AS bm25_rank, v AS vec_rank,
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank ASC NULLS LAST, vec_rank ASC NULLS LAST) AS position FROM fused0)"""
 
 
-def _rescored(condition: str) -> str:
+def _rescored(condition: str, pool: int = 50, most: int = 10) -> str:
     bias = "CASE type WHEN 'distillation' THEN 1.10::DOUBLE WHEN 'memory' THEN 1.05::DOUBLE WHEN 'skill' THEN 1.05::DOUBLE WHEN 'project' THEN 1.05::DOUBLE WHEN 'decision' THEN 1.05::DOUBLE WHEN 'session' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END"
     return f"""shown AS (SELECT f.*, r.type, r.importance, row_number() OVER (PARTITION BY query_id ORDER BY position) AS pool
-   FROM fused f JOIN records r USING (id) WHERE {condition} QUALIFY pool <= 50),
+   FROM fused f JOIN records r USING (id) WHERE {condition} QUALIFY pool <= {pool}),
 scored AS (SELECT query_id, id, score * ((1.0::DOUBLE + 0.2::DOUBLE * coalesce(importance, 0.5::DOUBLE)) * {bias}) AS score, bm25_rank, vec_rank, position FROM shown),
-final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, position) AS final_rank FROM scored QUALIFY final_rank <= 10)"""
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, position) AS final_rank FROM scored QUALIFY final_rank <= {most})"""
+
+
+def _mmr(candidates: str) -> str:
+    """CTEs ending in `mmr` (query_id, id, mmr_rank): greedy choice of ten among candidates (query_id, id, final_rank), a step a round."""
+    return f"""qv AS (SELECT query_id, embedding::DOUBLE[] AS qe FROM queries JOIN embeddings ON vec_id = query_id),
+cv AS (SELECT c.query_id, c.id, c.final_rank, qe, e.embedding::DOUBLE[] AS v FROM ({candidates}) c JOIN qv USING (query_id) LEFT JOIN embeddings e ON e.vec_id = c.id * 4),
+wv AS (SELECT query_id, id, final_rank, v, list_cosine_similarity(qe, v) AS rel FROM cv WHERE v IS NOT NULL),
+sims AS (SELECT a.query_id, a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS s FROM wv a JOIN wv b USING (query_id)),
+pick AS (SELECT DISTINCT query_id, 0 AS step, []::BIGINT[] AS chosen FROM cv
+  UNION ALL
+  SELECT query_id, step + 1, list_append(chosen, id) FROM (
+    SELECT query_id, step, chosen, id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * rel - 0.3::DOUBLE * coalesce(near, 0), 9) DESC, final_rank) AS n
+    FROM (SELECT k.query_id, k.step, k.chosen, w.id, w.final_rank, w.rel, max(s.s) AS near FROM pick k JOIN wv w ON w.query_id = k.query_id AND NOT list_contains(k.chosen, w.id)
+      LEFT JOIN sims s ON s.query_id = k.query_id AND s.i = w.id AND list_contains(k.chosen, s.j) WHERE k.step < 10 GROUP BY k.query_id, k.step, k.chosen, w.id, w.final_rank, w.rel)) WHERE n = 1),
+ended AS (SELECT query_id, arg_max(chosen, step) AS chosen, max(step) AS n FROM pick GROUP BY query_id),
+mmr AS (SELECT query_id, unnest(chosen) AS id, generate_subscripts(chosen, 1) AS mmr_rank FROM ended
+  UNION ALL SELECT query_id, id, n + row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS mmr_rank FROM cv JOIN ended USING (query_id) WHERE v IS NULL QUALIFY mmr_rank <= 10)"""
 
 
 _VISIBLE = f"(valid_to IS NULL OR valid_to > TIMESTAMP '{b.NOW_TEXT}') AND deprecated_by IS NULL AND deleted_at IS NULL"
@@ -202,6 +220,14 @@ SELECT query_id, id, round(score, 8) AS score, row_number() OVER (PARTITION BY q
 judged AS (SELECT query_id, f.id, final_rank, len(list_intersect(list_distinct({b.words_sql("q.query")}), {b.words_sql("concat_ws(' ', r.title, substr(r.body, 1, 4000))")}))::DOUBLE
    / greatest(len(list_distinct({b.words_sql("q.query")})), 1) AS rerank FROM final f JOIN queries q USING (query_id) JOIN records r ON r.id = f.id)
 SELECT query_id, id, round(rerank, 8) AS rerank, row_number() OVER (PARTITION BY query_id ORDER BY final_rank <= 5 DESC, CASE WHEN final_rank <= 5 THEN rerank END DESC NULLS LAST, final_rank) AS final_rank FROM judged""",
+    "mmr_topk": f"""{_RECURSIVE}, {_rrf(1, 1)}, {_rescored(_VISIBLE, 250, 50)}, {_mmr("SELECT query_id, id, final_rank FROM final")}
+SELECT query_id, id, mmr_rank::INT AS mmr_rank FROM mmr""",
+    "hybrid_search": f"""{_RECURSIVE}, {_rrf(1, 1)}, {_rescored(_VISIBLE, 250, 50)},
+judged AS (SELECT f.*, len(list_intersect(list_distinct({b.words_sql("q.query")}), {b.words_sql("concat_ws(' ', r.title, substr(r.body, 1, 4000))")}))::DOUBLE
+   / greatest(len(list_distinct({b.words_sql("q.query")})), 1) AS rerank FROM final f JOIN queries q USING (query_id) JOIN records r ON r.id = f.id),
+ordered AS (SELECT * EXCLUDE (final_rank), row_number() OVER (PARTITION BY query_id ORDER BY final_rank <= 20 DESC, CASE WHEN final_rank <= 20 THEN rerank END DESC NULLS LAST, final_rank) AS final_rank FROM judged),
+{_mmr("SELECT query_id, id, final_rank FROM ordered")}
+SELECT query_id, id, round(score, 10) AS score, bm25_rank::INT AS bm25_rank, vec_rank::INT AS vec_rank, position, rerank, mmr_rank::INT AS final_rank FROM mmr JOIN ordered USING (query_id, id)""",
     "search_snippets": f"""{_BASE}, {_rrf(1, 1)}, {_rescored(_VISIBLE)},
 flat AS (SELECT id, title, type, path, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS f FROM records)
 SELECT query_id, id, title, flat.type, path, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 240)) || '…' ELSE f END AS snippet, bm25_rank::INT AS bm25_rank, vec_rank::INT AS vec_rank, final_rank FROM final JOIN flat USING (id)""",
