@@ -17,6 +17,7 @@ from .streaming.ledger import Ledger
 
 CHUNKS = "chunk_id string, id string, chunk_index int, text string, embedding array<double>"
 STATE = "id string, body_hash string, signature string"
+LAYOUT = "number int, value int"
 INDEXED = "id string, hash string"
 HYDE = "query_hash string, judge string, hypothesis string"
 QUEUE = "id string, enqueued_at timestamp, retries int, last_error string, failed boolean, claimed_at timestamp, claimed_by string"
@@ -25,6 +26,24 @@ CHILDREN = {"chunks": CHUNKS, "embed_state": STATE}
 LOG = "id long, ts timestamp, kind string, query string, client string, memory_id string, rank int, score double"
 
 
+def _with_states(engine: Engine, read: Callable[[str, str], DataFrame]) -> dict[str, DataFrame]:
+    """1: vectors that are older than their state table get a row in it, good for any embedder."""
+    known = read("embed_state", STATE)
+    bodies = read("records", RECORDS).select("id", text.raw_hash(F.col("body")).alias("body_hash"))
+    missing = state.missing_state(read("chunks", CHUNKS), known).join(bodies, "id").withColumn("signature", F.lit(None).cast("string"))
+    return {"embed_state": known.unionByName(missing)}
+
+
+def _with_hashes(engine: Engine, read: Callable[[str, str], DataFrame]) -> dict[str, DataFrame]:
+    """2: the owners of bodies, for stores that kept none."""
+    known = read("hashes", HASHES)
+    missing = ingest.body_hashes(read("records", RECORDS)).join(known.select("hash"), "hash", "left_anti")
+    return {"hashes": known.unionByName(missing)}
+
+
+UPGRADES: dict[int, Callable[[Engine, Callable[[str, str], DataFrame]], dict[str, DataFrame]]] = {1: _with_states, 2: _with_hashes}
+
+
 class Engine:
     """Reads and writes the tables of a `Store`. `embed` turns (chunk_id, text) into (chunk_id, embedding)."""
 
@@ -44,6 +63,34 @@ class Engine:
         self.store.change(version, lambda read: taken_in(read, batch, now, known_heads, CHILDREN))
         self.refresh(version)
 
+    def open(self, version: int, dimensions: int, rebuild: bool = False) -> list[int]:
+        """Bring the store up to the newest layout and check its vectors' length; the upgrades that were done.
+
+        The store's tables know which upgrades they have seen, so each is done once.
+        Vectors of another length are an error or, with `rebuild`, dropped with their
+        state, so that the next refresh makes them anew.
+        """
+        done: list[int] = []
+
+        def upgraded(read: Callable[[str, str], DataFrame]) -> dict[str, DataFrame] | None:
+            known = {r["number"]: r["value"] for r in read("layout", LAYOUT).collect()}
+            before = max(known, default=0) if known else 0
+            tables: dict[str, DataFrame] = {}
+            done[:] = [n for n in sorted(UPGRADES) if n > before]
+            for number in done:
+                tables |= UPGRADES[number](self, lambda name, schema: tables.get(name, read(name, schema)))
+            held = read("chunks", CHUNKS).where("embedding is not null").select(F.size("embedding").alias("n")).where(F.col("n") != dimensions).limit(1).collect()
+            if held and not rebuild:
+                raise ValueError(f"the store holds vectors of {held[0]['n']} numbers, not {dimensions}; open it with rebuild")
+            if held:
+                tables |= {"chunks": read("chunks", CHUNKS).limit(0), "embed_state": read("embed_state", STATE).limit(0)}
+            if not tables and not done:
+                return None
+            return tables | {"layout": self.spark.createDataFrame([(n, dimensions) for n in sorted({*known, *done})], LAYOUT)}
+
+        self.store.change(version, upgraded)
+        return done
+
     def refresh(self, version: int) -> None:
         """Bring chunks, vectors and the keyword index up to the records: what is new, changed or gone."""
         known = self.store.read("embed_state", STATE)

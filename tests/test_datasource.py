@@ -86,3 +86,22 @@ def test_files_to_records_and_back_when_they_are_deleted(spark, load, tmp_path):
     assert {r["ref"]: r["exists"] for r in alive.collect()} == {kept[0]: True, kept[1]: False, kept[2]: True}
     verdicts = state.source_sweep(alive, store.read("records", RECORDS), spark.createDataFrame([(str(root),)], "root string"))
     assert sorted(r["verdict"] for r in verdicts.collect()) == ["live", "live", "tombstone"]
+
+
+def test_heads_of_prompts(spark, tmp_path):
+    from hashlib import sha256
+
+    from millrace.sources.heads import prompt_heads
+
+    long = "x" * 3000
+    write(tmp_path, "CLAUDE.md", "root")
+    write(tmp_path, "a/b/c/d/USER.md", long)
+    write(tmp_path, "a/b/c/d/e/SOUL.md", "too deep")
+    write(tmp_path, "a/node_modules/CLAUDE.md", "skipped")
+    write(tmp_path, "a/.claude/projects/MEMORY.md", "skipped, too")
+    write(tmp_path, "a/projects/MEMORY.md", "kept")
+    write(tmp_path, "a/SOUL.md", "")
+    write(tmp_path, "a/other.md", "no prompt")
+    found = {r["head"] for r in prompt_heads(spark, [str(tmp_path), str(tmp_path / "a"), "/no/such/root"], 4).collect()}
+    assert found == {sha256(t[:1024].encode()).hexdigest() for t in ("root", long, "kept", "too deep")}
+    assert len(prompt_heads(spark, [str(tmp_path)]).collect()) == 3

@@ -117,3 +117,22 @@ def test_claims_and_locks(spark, tmp_path):
     assert not engine.lock("sweep", "a", 4700.0)
     engine.unlock("sweep", "b")
     assert engine.lock("sweep", "a", 4701.0)
+
+
+def test_old_stores_are_upgraded_once_and_lengths_checked(spark, tmp_path):
+    from millrace.engine import CHUNKS, STATE
+    from millrace.streaming.ingest import HASHES
+
+    engine = Engine(spark, str(tmp_path / "old"))
+    held = spark.createDataFrame([], RECORDS)
+    rows = spark.createDataFrame([("1", "memory", "a body", "p/1.md"), ("2", "memory", "other", "p/2.md")], "id string, type string, body string, path string")
+    chunk = spark.createDataFrame([("1:0", "1", 0, "a body", [0.0] * 4)], CHUNKS)
+    engine.store.write(0, records=rows.select(*[c if c in rows.columns else F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns]), chunks=chunk)
+    with pytest.raises(ValueError, match="vectors of 4 numbers, not 64"):
+        engine.open(1, 64)
+    assert engine.open(1, 4) == [1, 2] and engine.open(2, 4) == []
+    assert [(r["id"], r["signature"]) for r in engine.store.read("embed_state", STATE).collect()] == [("1", None)]
+    assert sorted(r["id"] for r in engine.store.read("hashes", HASHES).collect()) == ["1", "2"]
+    assert engine.open(3, 64, rebuild=True) == [] and engine.chunks().count() == 0
+    engine.refresh(4)
+    assert engine.health().first().asDict() == {"embedded": 2, "pending": 0} and engine.open(5, 64) == []
