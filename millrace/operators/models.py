@@ -27,8 +27,8 @@ def hashed_vectors(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
     Tokens are counted in hashed, signed buckets; vectors are of unit length, or
     all zero for chunks without tokens.
     """
-    h = F.xxhash64("token")
-    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    digits = lambda first, n: F.conv(F.substring(F.md5("token"), first, n), 16, 10).cast("long")
+    h, sign = digits(1, 8), F.when(digits(9, 1) % 2 == 0, 1.0).otherwise(-1.0)
     each = chunks.select("chunk_id", F.explode_outer(text.tokens(F.col("text"))).alias("token"))
     sums = each.groupBy("chunk_id", F.pmod(h, F.lit(dimensions)).cast("int").alias("bucket")).agg(F.sum(F.when(F.col("token").isNull(), 0.0).otherwise(sign)).alias("value"))
     held = sums.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("held"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

@@ -250,3 +250,15 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKED_SQL = """linked0 AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN replace(body, chr(10), chr(10) || chr(10)) ELSE body END AS body) FROM records),
 linked1 AS (SELECT * REPLACE (CASE WHEN id % 10 = 0 THEN body || ' [[doc-' || id::VARCHAR || ']] [[ Other ]]' ELSE body END AS body) FROM linked0),
 linked AS (SELECT * REPLACE (CASE WHEN id % 12 = 0 THEN body || ' ![a](img/a.png) <img src="b.jpg"> ![c](http://x/y.png)' ELSE body END AS body) FROM linked1)"""
+
+
+def chunked_sql(source: str) -> str:
+    """CTEs ending in `cut` (id, cs): the chunks of the bodies of a source."""
+    flushed = "CASE WHEN acc.open <> '' THEN list_append(acc.done, acc.open) ELSE acc.done END"
+    joined = "CASE WHEN acc.open = '' THEN x.open ELSE acc.open || chr(10) || chr(10) || x.open END"
+    trimmed = lambda x: f"trim({x}, E' \\n\\t\\r')"
+    return f"""paras AS (SELECT id, body, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda p: {trimmed("p")}), lambda p: p <> '') AS ps FROM {source}),
+packed AS (SELECT id, body, list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, list_transform(ps, lambda p: {{'done': []::VARCHAR[], 'open': p}})), lambda acc, x: CASE
+    WHEN length(x.open) > 2048 THEN {{'done': list_concat({flushed}, list_transform(range(0, (length(x.open) - 1) // 2048 + 1), lambda i: substr(x.open, i * 2048 + 1, 2048))), 'open': ''}}
+    WHEN length({joined}) > 2048 THEN {{'done': {flushed}, 'open': x.open}} ELSE {{'done': acc.done, 'open': {joined}}} END) AS acc FROM paras),
+cut AS (SELECT id, CASE WHEN {trimmed("body")} = '' THEN [] WHEN length(body) <= 2048 THEN [{trimmed("body")}] ELSE {flushed} END AS cs FROM packed)"""

@@ -368,9 +368,6 @@ status AS (SELECT *, CASE WHEN updated < TIMESTAMP '{b.NOW_TEXT}' - to_days(30)
 _SEED_CASE = "CASE type WHEN 'skill' THEN 0.7::DOUBLE WHEN 'decision' THEN 0.6::DOUBLE WHEN 'distillation' THEN 0.7::DOUBLE WHEN 'daily' THEN 0.4::DOUBLE WHEN 'session' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
 _NOW = f"TIMESTAMP '{b.NOW_TEXT}'"
 
-_FLUSHED = "CASE WHEN acc.open <> '' THEN list_append(acc.done, acc.open) ELSE acc.done END"
-_JOINED = "CASE WHEN acc.open = '' THEN x.open ELSE acc.open || chr(10) || chr(10) || x.open END"
-
 ORACLE = {
     "body_hash": f"{_R} SELECT id, {_HASH} AS hash, sha256(body) AS raw FROM records",
     "dedup_groups": f"{_R} SELECT {_HASH} AS hash, count(*) AS size FROM records WHERE deprecated_by IS NULL GROUP BY 1 HAVING count(*) > 1",
@@ -415,11 +412,7 @@ SELECT cluster_id, count(*) AS size FROM members m LEFT JOIN covered c USING (id
 SELECT 'd-' || substr(sha256('session-distillation:' || id::VARCHAR), 1, 32) AS id, 'Session: ' || title AS title, array_to_string(said[1:3], ' ') AS body, array_to_string(tags, ',') || ',distillation:session' AS tags,
   'memory://sessions/' || id::VARCHAR AS links, 'session-distillation:' || id::VARCHAR AS ref FROM flat""",
     "chunks": f"""{_R}, {b.LINKED_SQL},
-paras AS (SELECT id, body, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda p: trim(p, E' \\n\\t\\r')), lambda p: p <> '') AS ps FROM linked),
-packed AS (SELECT id, body, list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, list_transform(ps, lambda p: {{'done': []::VARCHAR[], 'open': p}})), lambda acc, x: CASE
-    WHEN length(x.open) > 2048 THEN {{'done': list_concat({_FLUSHED}, list_transform(range(0, (length(x.open) - 1) // 2048 + 1), lambda i: substr(x.open, i * 2048 + 1, 2048))), 'open': ''}}
-    WHEN length({_JOINED}) > 2048 THEN {{'done': {_FLUSHED}, 'open': x.open}} ELSE {{'done': acc.done, 'open': {_JOINED}}} END) AS acc FROM paras),
-cut AS (SELECT id, CASE WHEN trim(body, E' \\n\\t\\r') = '' THEN [] WHEN length(body) <= 2048 THEN [trim(body, E' \\n\\t\\r')] ELSE {_FLUSHED} END AS cs FROM packed)
+{b.chunked_sql('linked')}
 SELECT id, (k - 1)::INT AS chunk_index, length(cs[k])::INT AS length, md5(cs[k]) AS digest FROM (SELECT id, cs, unnest(range(1, len(cs) + 1)) AS k FROM cut)""",
     "session_scan_stats": f"{_STATUS} SELECT status, count(*) AS sessions FROM status GROUP BY status",
     "project_candidates": f"WITH {b.SESSIONS_SQL} SELECT tags[2] AS tag, count(*) AS sessions, min(created) AS created, max(updated) AS updated FROM sessions GROUP BY 1 HAVING count(*) >= 2",

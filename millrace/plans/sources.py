@@ -81,6 +81,12 @@ _CODING = f"""coding AS (SELECT '/p/-home-' || (conv_id % 12)::VARCHAR || '/c' |
   FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role IN ('user','assistant')) > 0)"""
 
 ORACLE = {
+    "hashed_vectors": f"""WITH {b.RECORDS_SQL}, {b.chunked_sql('records')},
+rows AS (SELECT id, (k - 1)::INT AS n, cs[k] AS chunk FROM (SELECT id, cs, unnest(range(1, len(cs) + 1)) AS k FROM cut)),
+tok AS (SELECT id, n, md5(t) AS h FROM (SELECT id, n, unnest({b.words_sql('chunk')}) AS t FROM rows)),
+sums AS (SELECT id, n, ('0x' || substr(h, 1, 8))::BIGINT % 16 AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM tok GROUP BY 1, 2, 3),
+norms AS (SELECT id, n, sqrt(sum(v * v)) AS norm, map_from_entries(list({{'k': bucket, 'v': v}})) AS held FROM sums GROUP BY 1, 2)
+SELECT id::VARCHAR || ':' || n::VARCHAR AS chunk_id, list_transform(range(16), lambda i: coalesce(held[i], 0.0::DOUBLE) / CASE WHEN coalesce(norm, 0) > 0 THEN norm ELSE 1.0::DOUBLE END) AS embedding FROM rows LEFT JOIN norms USING (id, n)""",
     "coding_sessions": f"WITH {_CODING} SELECT * FROM coding",
     "conversation_projects": f"WITH {_CODING} SELECT tags, count(*) AS sessions, sum(turn_count::BIGINT)::BIGINT AS turns FROM coding GROUP BY tags",
     "rollouts": f"""SELECT '/r/' || (conv_id % 12)::VARCHAR || '/c' || conv_id::VARCHAR || '.jsonl' AS ref, string_agg({_ROLE} || text, chr(10) || chr(10) ORDER BY turn) FILTER (role IN ('user','assistant')) AS body,
