@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .model import SearchOptions
+from .model import SearchOptions, clamp_limit, clamp_rerank
 from .operators import applies, fusion, hygiene, ingest, models, state
 from .operators.textindex import TextIndex
 from .session import cut
@@ -120,6 +121,7 @@ class Engine:
         of the passages. If vectors cannot be had, hits are those by keyword, and
         `degraded` says why.
         """
+        options = replace(options, limit=clamp_limit(options.limit), rerank_top_n=clamp_rerank(options.rerank_top_n) if options.rerank_top_n > 0 else 0)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
         passages = asked.withColumn("passage", F.col("query"))
         if expand is not None:
@@ -202,6 +204,10 @@ class Engine:
     def enqueue(self, ids: DataFrame, now: Column, version: int) -> None:
         self.store.change(version, lambda read: {"queue": state.enqueued(read("queue", QUEUE), ids, now)})
 
+    def retry(self, version: int) -> None:
+        """Give failed queue rows another chance."""
+        self.store.change(version, lambda read: {"queue": state.released_failures(read("queue", QUEUE))})
+
     def lock(self, stage: str, owner: str, now: float) -> bool:
         """Take a stage's lock, if it is free or was taken more than `state.STALE_LOCK_SECONDS` ago."""
 

@@ -95,5 +95,5 @@ def sweep_applied(mapping: DataFrame, records: DataFrame, roots: DataFrame, now:
     kept = known.join(states.where("state = 'dead'").select("source", "ref", "id"), ["source", "ref", "id"], "left_anti").select(*mapping.columns)
     marks = rows.agg(F.count_if((F.col("verdict") == "tombstone") & F.col("deleted_at").isNull()).alias("tombstoned"), F.count_if((F.col("verdict") == "live") & F.col("deleted_at").isNotNull()).alias("restored"))
     dropped = states.agg(F.count_if(F.col("state") == "dead").alias("dead_refs"), F.count_if(F.col("state") == "unverified").alias("unverified_refs"))
-    orphaned = mapping.join(records.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    orphaned = state.orphans(mapping, records).agg(F.count(F.lit(1)).alias("orphans"))
     return {"records": rows.withColumn("deleted_at", mark).select(*records.columns), "mapping": kept, "report": marks.crossJoin(dropped).crossJoin(orphaned)}

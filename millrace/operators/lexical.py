@@ -100,13 +100,15 @@ def asked_terms(asked: DataFrame) -> DataFrame:
     return asked.select(F.explode("terms").alias("term")).distinct()
 
 
-def occurrences(posted: DataFrame, asked: DataFrame) -> DataFrame:
-    """(phrase, id, tf, dl): records with each phrase of a plan. posted may be cut down to its terms."""
+def occurrences(posted: DataFrame, asked: DataFrame, several: bool = True) -> DataFrame:
+    """(phrase, id, tf, dl): records with each phrase of a plan. posted may be cut down to its terms; several: whether phrases of more than one term are in it."""
     phrases = asked.select("phrase", "terms").distinct()
     single = phrases.where(F.size("terms") == 1).select("phrase", F.col("terms")[0].alias("term"))
     found = posted.join(single, "term").select("phrase", "id", "tf", "dl")
-    several = phrases.where(F.size("terms") > 1).select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
-    starts = posted.join(several, "term").select("phrase", "id", "dl", "n", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+    if not several:
+        return found
+    longer = phrases.where(F.size("terms") > 1).select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
+    starts = posted.join(longer, "term").select("phrase", "id", "dl", "n", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
     whole = starts.groupBy("phrase", "id", "start").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("dl").alias("dl")).where("met = n")
     return found.unionByName(whole.groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import stemmed
+from ..session import cut
 from ..streaming.ledger import Conflict, Ledger
 from . import lexical
 
@@ -175,16 +176,19 @@ class TextIndex:
         if terms is None:
             return self._live("postings", segments).select("id", "term", "tf", "dl", "positions")
         wanted = terms.select("term").distinct()
-        named = [r["term"] for r in wanted.limit(NAMED + 1).collect()]
-        buckets = [r["b"] for r in wanted.select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct().collect()]  # as many as there are buckets at most
+        first = wanted.select("term", bucket_of(F.col("term"), self.buckets).alias("b")).limit(NAMED + 1).collect()
+        named, buckets = [r["term"] for r in first], sorted({r["b"] for r in first})
+        if len(named) > NAMED:
+            buckets = [r["b"] for r in wanted.select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct().collect()]  # as many as there are buckets at most
         rows = self._live("postings", segments, buckets)
         rows = rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(wanted, "term", "left_semi")
         return rows.select("id", "term", "tf", "dl", "positions")
 
     def hits(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score) of queries (query_id, query)."""
-        asked = lexical.plan(queries, self.stem)
-        found = lexical.occurrences(self.postings(lexical.asked_terms(asked)), asked)
+        asked = cut(lexical.plan(queries, self.stem))
+        several = asked.where(F.size("terms") > 1).limit(1).count() > 0
+        found = lexical.occurrences(self.postings(lexical.asked_terms(asked)), asked, several)
         return lexical.bm25(found, self.statistics(), asked)
 
     def search(self, queries: DataFrame, records: DataFrame, k: int, types: tuple[str, ...] = ()) -> DataFrame:
