@@ -5,6 +5,11 @@ near-duplicates: of each class of near-duplicates the lowest id stays; rows go o
 decontamination: documents that contain a benchmark item go.
 secrets: secrets in the texts are replaced by a mark.
 mixing: how much of each document the mix takes, and when in training.
+
+In all stages: a null text is an empty one (and stays null in the table unless it
+was rewritten), texts of any length are judged whole, columns besides those of
+documents are not read, and an empty table gives an empty one. Rows without an id,
+or of one id with different texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is kept or not by its own text: repeated rows share a fate, rows without an id stay if their text is clean; empty texts are clean."""
     return without_toxic(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
@@ -38,16 +44,23 @@ def outer_ids(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows equal in id and text become one, whatever their lang and source: the least of these by (lang, source, n_chars).
+
+    Of a class the row with the least id stays, one without an id before all, ties by
+    text. Texts of fewer than five words are near copies of texts of the same words only.
+    """
     rows = documents(docs, "lang", "source", "n_chars")
     first = near_classes(rows).where("doc_id = class_id").select("doc_id")
     return outer_ids(rows.join(first, "doc_id", "left_semi")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is kept or not by its own text; repeated rows share a fate. Items without a word contaminate nothing."""
     return without_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No row goes, but rows equal in id and text become one. Overlapping secrets get one mark; n_chars is the new length where there was any."""
     rows = documents(docs, "lang", "source", "n_chars")
     found = find_secrets(rows).withColumn("clean", redacted(F.col("text"), F.col("spans")))
     length = F.when(F.size("spans") > 0, F.char_length("clean").cast("long")).otherwise(F.col("n_chars"))
@@ -55,6 +68,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row, repeated ones too; a null source is a source of its own; documents without a word are never taken."""
     return mix(docs)
 
 
