@@ -237,7 +237,7 @@ def drift_check(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.array_join("mismatches", ",").alias("mismatches"))
 
 
-def _distilled(spark: SparkSession, d: str) -> DataFrame:
+def _told(spark: SparkSession, d: str) -> DataFrame:
     """Distillations of every third session."""
     rows = b.sessions(spark, d).where("id % 3 = 0")
     return rows.select(F.col("id").alias("session_id"), (F.col("id") + 100_000).alias("id"), F.concat(F.lit("Distilled "), F.col("id").cast("string")).alias("title"), F.substring("body", 1, 200).alias("body"), "updated")
@@ -249,9 +249,9 @@ def project_records(spark: SparkSession, d: str) -> DataFrame:
     tags = sessions.select(F.col("tags")[1].alias("tag")).distinct()
     existing = tags.where("tag in ('home-1', 'home-2')").select(F.concat(F.lit("old-"), "tag").alias("id"), "tag", F.lit("t").alias("title"), F.concat(F.lit("# Mine\n\n"), "tag").alias("body"), F.lit("2023-01-01").cast("timestamp").alias("created"), (F.col("tag") == "home-1").alias("manual"))
     said = lambda rows, word: rows.select("content_hash", F.concat(F.lit(f"# {word} "), F.substring(F.md5("prompt"), 1, 8), F.lit("\n\nbody")).alias("output"))
-    prompts = hygiene.project_prompts(sessions, _distilled(spark, d)).withColumn("content_hash", text.raw_hash(F.col("prompt")))
+    prompts = hygiene.project_prompts(sessions, _told(spark, d)).withColumn("content_hash", text.raw_hash(F.col("prompt")))
     cache = said(prompts.where("tag in ('home-3', 'home-1')"), "Known").withColumn("model", F.lit("m"))
-    out = hygiene.project_records(sessions, _distilled(spark, d), existing, cache, "m", lambda misses: said(misses.where(F.col("prompt").contains("home-4") == F.lit(False)), "New"), b.now())
+    out = hygiene.project_records(sessions, _told(spark, d), existing, cache, "m", lambda misses: said(misses.where(F.col("prompt").contains("home-4") == F.lit(False)), "New"), b.now())
     links = out["links"].groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
     return out["records"].join(links, "tag", "left").select("tag", "title", "body", "path", "manual", "created", "status", F.coalesce("links", F.lit(0)).alias("links"))
 
