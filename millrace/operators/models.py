@@ -27,10 +27,12 @@ def hashed_vectors(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
     Tokens are counted in hashed, signed buckets; vectors are of unit length, or
     all zero for chunks without tokens.
     """
-    digits = lambda first, n: F.conv(F.substring(F.md5("token"), first, n), 16, 10).cast("long")
-    h, sign = digits(1, 8), F.when(digits(9, 1) % 2 == 0, 1.0).otherwise(-1.0)
+    # Nine digits of a hash: eight for the bucket, the last bit for the sign. A chunk without tokens adds nothing to bucket 0.
     each = chunks.select("chunk_id", F.explode_outer(text.tokens(F.col("text"))).alias("token"))
-    sums = each.groupBy("chunk_id", F.pmod(h, F.lit(dimensions)).cast("int").alias("bucket")).agg(F.sum(F.when(F.col("token").isNull(), 0.0).otherwise(sign)).alias("value"))
+    each = each.select("chunk_id", F.conv(F.substring(F.md5("token"), 1, 9), 16, 10).cast("long").alias("h"))
+    bucket = F.coalesce(F.pmod(F.shiftright("h", 4), F.lit(dimensions)), F.lit(0)).cast("int")
+    value = F.when(F.col("h").isNull(), 0.0).when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
+    sums = each.groupBy("chunk_id", bucket.alias("bucket")).agg(F.sum(value).alias("value"))
     held = sums.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("held"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     value = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
     return held.select("chunk_id", value.alias("embedding"))

@@ -48,6 +48,23 @@ def test_query_equals_sql(spark, small, sql, name):
     assert bag(out.select(*columns).collect()) == bag(expected)
 
 
+#: Texts without a token, without anything, with headings of their own.
+ODD_TEXTS = ["!!! ??? ---", "", None, "# Own\nwords", "  \n # Own words\n#\nmore", "# Own", "plain\n# Own\n", "x\r# Own", "|", "one two"]
+
+
+@pytest.mark.parametrize("name", ["hashed_vectors"])
+def test_odd_texts_equal_sql(spark, tmp_path, name):
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(ODD_TEXTS * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = catalogue.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(out.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    expected = con.sql(f"SELECT {quoted} FROM ({catalogue.ORACLE[name]}) q").fetchall()
+    assert bag(out.select(*columns).collect()) == bag(expected)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_query_without_sql_gives_rows(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
