@@ -151,3 +151,70 @@ def test_a_task_keeps_what_the_final_k_need(spark):
             assert [got[q["query_id"], n + 1] for n in range(7)] == [r[0] for r in best]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def shuffled(df) -> int:
+    """Rows that the query's shuffles wrote, by its metrics."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        for kind in ("executedPlan", "plan"):
+            if "QueryStage" in node.nodeName() or node.nodeName().startswith("AdaptiveSparkPlan"):
+                try:
+                    todo.append(getattr(node, kind)())
+                    break
+                except Exception:  # noqa: BLE001  stages and adaptive plans name their plan differently
+                    continue
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+ODD = ["", None, "!?", "one two", "two one two", "one one two", "Zwei É one", "one " * 50 + "two", "foo bar foo", "bar foo bar foo bar"]
+
+
+def odd_records(spark, n: int = 400):
+    rows = [(i, "one" if i % 7 == 0 else None, ODD[i % len(ODD)], ["a", "two"] if i % 3 else None, "memory" if i % 2 else "skill") for i in range(n)]
+    return spark.createDataFrame(rows, "id long, title string, body string, tags array<string>, type string").repartition(6)
+
+
+SPOKEN = ["one", "one two", "two AND one", "one NOT two", "one OR foo", "foo_bar", "foo_bar NOT bar_foo_bar", "one one two OR zwei", "AND one", "", "nowhere", "one_two e AND two NOT foo", "bar_foo_bar_foo OR one_two", "missing_word OR one"]
+
+
+@pytest.mark.parametrize("types", [(), ("memory",)])
+def test_a_scan_finds_what_joined_postings_find_and_shuffles_little(spark, monkeypatch, types):
+    from millrace.operators import scan
+
+    rows = odd_records(spark)
+    asked = spark.createDataFrame(list(enumerate(SPOKEN)), "query_id long, query string")
+    out = lexical.search(rows, asked, 7, types)
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in out.collect()}
+    # Each of 6 tasks sends 7 hits of a query at most; there are thousands of hits.
+    assert shuffled(out) <= 6 * 7 * len(SPOKEN)
+    monkeypatch.setattr(scan, "CELLS", 100)
+    assert {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in lexical.search(rows, asked, 7, types).collect()} == got
+    monkeypatch.setattr(scan, "STATED", 0)
+    joined = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in lexical.search(rows, asked, 7, types).collect()}
+    assert got == joined and len({q for q, _ in got}) >= 9
+    assert lexical.search(rows, asked.limit(0), 7).count() == 0 and lexical.search(rows.limit(0), asked, 7).count() == 0
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    from millrace.operators import scan
+
+    values = [0.0000000005, -0.0000000015, 0.1234567895, -2.5000000005, 7.25, -1e-9, 3.0000000004999]
+    expected = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()]
+    assert [round(u / 1e9, 9) for u in scan.units(np.array(values))] == expected
+
+
+def test_only_records_that_hits_name_are_joined(spark, monkeypatch):
+    rows = odd_records(spark)
+    hits = spark.createDataFrame([(1, 5), (2, 5), (2, 11)], "query_id long, id long")
+    found = lexical.named(rows, hits)
+    assert shuffled(found.select("id")) <= rows.count()  # rows come repartitioned
+    assert sorted(r["id"] for r in found.collect()) == [5, 11]
+    monkeypatch.setattr(lexical, "FEW", 1)
+    assert sorted(r["id"] for r in lexical.named(rows, hits).collect()) == [5, 11]
