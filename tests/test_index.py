@@ -129,3 +129,56 @@ def test_stems_in_sql_equal_the_stemmer(spark, small):
     con.sql(f"CREATE VIEW d AS SELECT * FROM '{small}/documents.parquet'")
     rows = con.sql(f"WITH {bindings.stems_sql('SELECT DISTINCT unnest(' + bindings.words_sql('text') + ') AS term FROM d')} SELECT * FROM stems").fetchall()
     assert len(rows) > 1000 and all(s == stem(t) for t, s in rows)
+
+
+def test_words_hash_as_in_spark(spark):
+    import pyarrow as pa
+
+    from millrace.operators import blocks
+
+    words = ["", "a", "éa", "word", "worded1", "12345678", "größe12345678", *["x" * n + "yz" * (n % 3) for n in range(70)]]
+    expected = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("xxhash64(w)").collect()]
+    assert blocks.xxhash64(pa.array(["before", *words])[1:]).tolist() == expected
+
+
+def test_an_index_is_made_without_shuffles_of_postings(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import blocks
+
+    monkeypatch.setattr(blocks, "SPLIT", 3)
+    monkeypatch.setattr(lexical, "postings", None)  # nor grouped by them
+    rows = corpus(spark, BODIES * 4)
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.upsert(rows)
+    monkeypatch.undo()
+    key = lambda r: (r["id"], r["term"], r["tf"], r["dl"], sorted(r["positions"]))
+    assert sorted(map(key, index.postings().collect())) == sorted(map(key, lexical.postings(rows, stem=stemmed).collect()))
+    held = {r["id"]: (r["dl"], sorted(r["terms"])) for r in index._read("records", [1]).collect()}
+    own = rows.select("id", lexical.words().alias("words")).select("id", lexical.length().alias("dl"))
+    assert {i: d for i, (d, _) in held.items()} == {r["id"]: r["dl"] for r in own.collect()}
+    terms = lexical.postings(rows, stem=stemmed).groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t")).collect()
+    assert all(held[r["id"]][1] == sorted(r["t"]) for r in terms)
+
+
+@pytest.mark.parametrize("types", [(), ("a",)])
+def test_a_search_of_single_terms_equals_its_hits(spark, tmp_path, types):
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.upsert(corpus(spark, ["gone alpha"] * 20))
+    index.upsert(corpus(spark, BODIES * 3))
+    index.delete(spark.createDataFrame([("d003",)], "id string"))
+    rows = corpus(spark, BODIES * 3).where("id <> 'd003'").selectExpr("*", "if(id > 'd010', 'a', 'b') AS type")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "foo AND bar"), (3, "running OR gamma NOT beta"), (4, "nowhere"), (5, "")], "query_id long, query string")
+    got = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in index.search(asked, rows, 4, types).collect())
+    assert got == sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in lexical.best(index.hits(asked), rows, 4, types).collect())
+    assert len(got) == 12
+
+
+def test_removed_records_are_found_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "FEW", 2)
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=8)
+    index.upsert(corpus(spark, ["one two"] * 12))
+    index.upsert(corpus(spark, ["two three"] * 9, 2))
+    index.delete(spark.createDataFrame([("d000",), ("d005",), ("unknown",)], "id string"))
+    df = {r["term"]: r["df"] for r in index.frequencies().collect()}
+    assert (index.statistics().first()["n"], df["one"], df["two"], df["three"]) == (10, 2, 10, 8)
