@@ -181,4 +181,4 @@ def test_removed_records_are_found_in_parts(spark, tmp_path, monkeypatch):
     index.upsert(corpus(spark, ["two three"] * 9, 2))
     index.delete(spark.createDataFrame([("d000",), ("d005",), ("unknown",)], "id string"))
     df = {r["term"]: r["df"] for r in index.frequencies().collect()}
-    assert (index.statistics().first()["n"], df["one"], df["two"], df["three"]) == (10, 2, 10, 8)
+    assert (index.statistics().first()["n"], df["on"], df["two"], df["three"]) == (10, 2, 10, 8)
